@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import quality, simhash, toxicity
+from sievework.llm import packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,18 @@ def _crc(c) -> Column:
     return F.crc32(F.col(c).cast("string")) if isinstance(c, str) else F.crc32(c.cast("string"))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file on this machine and its workers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@_query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
