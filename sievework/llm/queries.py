@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import packing, quality, simhash, toxicity
+from sievework.llm import lines, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,13 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.dedup_lines(docs.withColumn("_was", F.size(F.split("text", "\n", -1))))
+    return out.select("doc_id", F.col("_was").cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars_kept"), "text")
+
+
 @_query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
