@@ -42,3 +42,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *bases: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for base in bases:
+        while base.lower() in taken:
+            base = f"_{base}"
+        taken.add(base.lower())
+        out.append(base)
+    return out
