@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.components import connected_components
-from sievework.session import written
+from sievework.session import fresh, written
 
 SHINGLE, RADIUS, TILE, SEED = 4, 4, 8192, 42
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -150,3 +150,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each near-duplicate component: the one with the smallest id.
+
+    Columns stay. Rows that share an id and its component count as one document; rows without an id stay only if
+    their component has no other, one of them. An empty table stays empty.
+    """
+    (key,) = fresh(docs, "_id")
+    named = written(near_duplicates(docs, id_col, text, radius).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)), "kept")
+    rows, ids = named.count(), named.distinct().count()
+    out = docs.join(named.distinct(), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+    return out if rows == ids else out.dropDuplicates([id_col])
