@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import lines, packing, quality, simhash, toxicity
+from sievework.llm import lines, neighbours, packing, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
 
 
+@_query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(table, table.where(F.col("vec_id") % 20 == 0))
+
+
+#: The rules that the query applies.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@_query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judged(_table(spark, sf_dir, "pages"), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "log_odds", "words")
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
