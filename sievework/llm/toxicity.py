@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS, FEATURES, LEAST_DOCS = 6_000, 3072, 4
+TRAIN_ROWS, FEATURES, LEAST_DOCS = 5_000, 3072, 4
 _SENTENCE = re.compile(r"(?<=[.!?])[\s]+|\n+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -65,12 +66,14 @@ class Model:
         return [(i, s, float(x)) for i, (s, x) in enumerate(zip(sentences(text), p)) if x >= least]
 
 
-def _select(bags: list[list[list[str]]], y: np.ndarray, features: int) -> list[str]:
+def _select(texts: list[str | None], y: np.ndarray, features: int) -> list[str]:
     """The features whose presence differs most between the labels, by the chi-square of document counts."""
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     seen = (Counter(), Counter())
-    for bag, label in zip(bags, y):
-        seen[int(label)].update(set().union(*bag))
+    for text, label in zip(texts, y):
+        seen[int(label)].update({f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w)})
+        if len(seen[0]) > 1 << 20:  # bounded memory: features seen once so far are forgotten
+            seen = tuple(Counter({f: n for f, n in c.items() if n > 1}) for c in seen)
     scored = []
     for w in seen[1].keys() | seen[0].keys():
         a, b = seen[1][w], seen[0][w]
@@ -84,20 +87,19 @@ def fit(texts: list[str | None], labels: list[int], features: int = FEATURES, ro
     """Fit the sentence model to document labels by Adam on the noisy-or log likelihood."""
     y = np.array(labels, float)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
-    bags = [[[f for w in set(_WORD.findall(s.lower())) for f in features_of(w)] for s in sentences(t)] for t in texts]
-    words = _select(bags, y, features)
+    words = _select(texts, y, features)
     if not words or prior in (0.0, 1.0):
         return Model({}, float(np.log(1e-4)), prior)
     index = {w: i for i, w in enumerate(words)}
-    doc, row, col, n = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hit = [index[w] for w in s if w in index]
+    doc, row, col, n = array("i"), array("i"), array("i"), 0
+    for d, text in enumerate(texts):
+        for s in sentences(text):
+            hit = [index[f] for w in set(_WORD.findall(s.lower())) for f in features_of(w) if f in index]
             doc.append(d)
-            row += [n] * len(hit)
-            col += hit
+            row.extend([n] * len(hit))
+            col.extend(hit)
             n += 1
-    doc, row, col = np.array(doc, np.int64), np.array(row, np.int64), np.array(col, np.int64)
+    doc, row, col = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (doc, row, col))
     w, b, m1, m2 = np.zeros(len(words)), -6.0, 0.0, 0.0
     has = np.bincount(doc, minlength=len(y)) > 0
     for t in range(1, rounds + 1):
