@@ -83,7 +83,7 @@ def _select(texts: list[str | None], y: np.ndarray, features: int) -> list[str]:
     return [w for x, w in sorted(scored, key=lambda t: (-t[0], t[1]))[:features] if x > 3.8]
 
 
-def fit(texts: list[str | None], labels: list[int], features: int = FEATURES, rounds: int = 200, l2: float = 2e-3) -> Model:
+def fit(texts: list[str | None], labels: list[int], features: int = FEATURES, rounds: int = 500, l2: float = 1e-3) -> Model:
     """Fit the sentence model to document labels by Adam on the noisy-or log likelihood."""
     y = np.array(labels, float)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
