@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import html, lines, neighbours, packing, quality, simhash, toxicity, urls
+from sievework.llm import html, lines, neighbours, packing, pieces, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
 
+@_query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    out = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "score", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 @_query
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
