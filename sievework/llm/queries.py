@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import html, lines, neighbours, packing, pieces, quality, simhash, toxicity, urls
+from sievework.llm import html, language_model, lines, neighbours, packing, pieces, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,12 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table, table.where(F.col("vec_id") % 20 == 0))
 
 
+@_query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model.scored(docs, _crc(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0)
+
+
 #: The rules that the query applies.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
