@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from sievework.session import written
 
-CHUNK, SEGMENT, CACHED_WORDS = 1 << 15, 64, 250_000
+CHUNK, SEGMENT, CACHED_WORDS = 1 << 15, 64, 400_000
 NONE = -np.inf
 SPACE = "▁"
+little_endian = np.little_endian and array("I").itemsize == 4
 
 
 def zipf(score: float) -> float:
@@ -58,12 +60,28 @@ class Vocabulary:
         #: characters that no longer piece holds: hard boundaries on both sides
         joined = {c for p in self.id if len(p) > 1 for c in p}
         self.alone = "".join(c for c in "\n\r\t\v\f" if c not in joined)
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        a = re.escape(self.alone)
-        self.words = re.compile(rf"[\s\S]+" if inner else rf"[{a}]|{SPACE}+[^{SPACE}{a}]*|[^{SPACE}{a}]+" if a else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.words = self._boundaries()
+        #: score of each piece, none for what only begins one
+        self.arc = {p: self.score.get(p) for p in self.prefix}
         self.memo: dict[str, bytes] = {}
         self.worth: dict[str, float] = {}
 
+    def _boundaries(self) -> re.Pattern:
+        """A pattern whose matches no piece crosses: spaces and a run of letters, or of other characters.
+
+        Read off the pieces: if one joins letters and others, or a space after something else, less is split.
+        """
+        letter, a = re.compile(r"[^\W\d_]"), re.escape(self.alone)
+        pairs = {(x, y) for p in self.id for x, y in zip(p, p[1:])}
+        odd = {c for x, y in pairs if SPACE not in (x, y) and bool(letter.match(x)) != bool(letter.match(y)) for c in (x, y) if letter.match(c)}
+        is_letter = lambda c: bool(letter.match(c)) and c not in odd
+        o = re.escape("".join(sorted(odd)))
+        if any(y == SPACE != x for x, y in pairs):
+            return re.compile(r"[\s\S]+")
+        if any(SPACE not in (x, y) and is_letter(x) != is_letter(y) for x, y in pairs):
+            return re.compile(rf"[{a}]|{SPACE}+[^{SPACE}{a}]*|[^{SPACE}{a}]+" if a else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        return re.compile((rf"[{a}]|" if a else "") + rf"{SPACE}*[^\W\d_{o}]+|{SPACE}*(?:[\d_{o}]|[^\w{SPACE}{a}])+|{SPACE}+")
+
     def arcs(self, t: str, i: int, end: int) -> Iterator[tuple[int, float]]:
         """(end, score) of the pieces that start at i; the character alone if it has none."""
         single = False
@@ -97,7 +115,7 @@ class Vocabulary:
         for a, b in zip(cuts, cuts[1:]):
             i = self.id.get(t[a:b])
             out += [i] if i is not None else [self.byte[c] for c in t[a:b].encode("utf-8", "replace")]
-        return np.array(out, "<u4").tobytes()
+        return array("I", out).tobytes() if little_endian else np.array(out, "<u4").tobytes()
 
     def trace(self, t: str, start: int, end: int) -> list[int]:
         _, back = self.forward(t, start, end)
@@ -108,8 +126,24 @@ class Vocabulary:
         return cuts[::-1]
 
     def word(self, w: str) -> tuple[bytes, float]:
-        best, back = self.forward(w, 0, len(w))
-        cuts, j = [len(w)], len(w)
+        n, get, longest, unknown = len(w), self.arc.get, self.longest, self.unknown
+        best, back = [NONE] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            b, s = best[i], get(w[i], 0)
+            c = b + (s or unknown)
+            if c > best[i + 1]:
+                best[i + 1], back[i + 1] = c, i
+            if s == 0:  # no piece begins so
+                continue
+            for j in range(i + 2, (i + longest if i + longest < n else n) + 1):
+                s = get(w[i:j], 0)
+                if s:
+                    if b + s > best[j]:
+                        best[j], back[j] = b + s, i
+                elif s == 0:
+                    break
+        cuts, j = [n], n
         while j:
             j = back[j]
             cuts.append(j)
