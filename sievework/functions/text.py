@@ -164,7 +164,7 @@ def strip_tags(html: Column) -> Column:
 
 
 #: Addresses of applicant tracking systems, in order of preference.
-TRACKERS = (r"https?://boards\.greenhouse\.io/[^\s\"'<>]+", r"https?://jobs\.lever\.co/[^\s\"'<>]+", r"https?://jobs\.ashbyhq\.com/[^\s\"'<>]+", r"https?://apply\.workable\.com/[^\s\"'<>]+")
+TRACKERS = (r"https?://(?:boards\.greenhouse\.io|job-boards\.greenhouse\.io|grnh\.se)/[^\s\"'<>]+", r"https?://jobs\.lever\.co/[^\s\"'<>]+", r"https?://jobs\.ashbyhq\.com/[^\s\"'<>]+", r"https?://apply\.workable\.com/[^\s\"'<>]+")
 
 
 def tracker_link(*texts: Column) -> Column:

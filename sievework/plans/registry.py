@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from sievework.plans import cascades, scalars  # noqa: F401
