@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from sievework.plans import cascades, scalars  # noqa: F401
+from sievework.plans import cascades, evaluation, relations, scalars, streams  # noqa: F401
