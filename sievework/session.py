@@ -36,14 +36,45 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage of df: write it as Parquet to the shared scratch folder and read it back."""
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+    """Cut the lineage of df: write it as Parquet to the shared scratch folder and read it back.
+
+    keep: release() leaves the table alone.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the scratch tables written since a mark, but for those that a DataFrame still reads.
+
+    Whoever calls it knows that nothing else will read them: an operator that has written its result's inputs, or
+    a stage whose predecessor's result is stored.
+    """
+    held = {f.rsplit("/", 1)[0] for f in but.inputFiles()} if but is not None else set()
+    named = {h.rsplit("/", 1)[-1] for h in held}
+    keep = []
+    for path in _WRITTEN[since:]:
+        if path.rsplit("/", 1)[-1] in named:
+            keep.append(path)
+        else:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN[since:] = keep
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Names like the given ones that no column of df has, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
