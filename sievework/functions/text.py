@@ -196,14 +196,14 @@ MOJIBAKE = (("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€
 
 
 def unscramble(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1: two-byte runs are decoded again, then the frequent remains replaced."""
+    """UTF-8 that was read as Latin-1 or Windows-1252: frequent remains are replaced, then all two-byte letters."""
     t = blank(text)
-    for wrong, right in MOJIBAKE[:-1]:
+    for wrong, right in MOJIBAKE[:-2]:
         t = F.replace(t, F.lit(wrong), F.lit(right))
-    again = F.decode(F.encode(t, "ISO-8859-1"), "UTF-8")
-    twisted = t.rlike("[ÂÃ][\\x80-\\xbf]") & ~t.rlike("[^\\x00-\\xff]")
-    twisted = twisted & ~F.contains(F.when(twisted, again), F.lit("\ufffd"))
-    return F.replace(F.when(twisted, again).otherwise(t), F.lit("Â"), F.lit(""))
+    fixed = t
+    for code in range(0x80, 0xC0):
+        fixed = F.replace(F.replace(fixed, F.lit("Ã" + chr(code)), F.lit(chr(code + 0x40))), F.lit("Â" + chr(code)), F.lit(chr(code)))
+    return F.when(t.rlike("[ÂÃ][\\x80-\\xbf]"), fixed).otherwise(t)  # few texts take the long way
 
 
 def job_type(text: Column) -> Column:

@@ -180,7 +180,7 @@ def tech_tags(title: Column, description: Column, tags: Column) -> Column:
     """Existing tags and the technologies named, as a sorted set."""
     text = F.lower(F.concat_ws(" ", blank(title), blank(description)))
     found = F.array_compact(F.array(*[F.when(has(text, p), name) for name, p in TECHNOLOGIES.items()]))
-    kept = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.trim), lambda t: t != "")
+    kept = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda t: t != "")
     return F.array_sort(F.array_distinct(F.concat(kept, found)))
 
 

@@ -214,7 +214,7 @@ def issue_rules(now: Column, config: GateConfig = GateConfig()) -> tuple[list[Ru
         Rule("review_needed", labelled.contains("s0: review needed"), -5),
         Rule("difficulty_hard", labelled.contains("difficulty: hard") | labelled.contains("difficulty:hard"), -15),
     ]
-    return rules, more, {"funded": funded, "hold": hold, "amount": amounts[0]["amount"], "currency": amounts[0]["currency"]}
+    return rules, more, {"funded": funded, "hold": hold, "amount": F.get(amounts, 0)["amount"], "currency": F.get(amounts, 0)["currency"]}
 
 
 def evaluate(issues: DataFrame, now: Column, config: GateConfig = GateConfig()) -> DataFrame:

@@ -41,6 +41,20 @@ def _clause(window: Column, last: bool) -> Column:
     return out
 
 
+def _asks(parts: Column, phrase: str):
+    """For the i-th occurrence of a phrase that a text was split at: does its clause leave it standing?"""
+
+    def asks(i: Column) -> Column:
+        before = F.array_join(F.slice(parts, 1, i), phrase)
+        after = F.array_join(F.slice(parts, i + 1, F.size(parts)), phrase)
+        near = _clause(F.when(F.length(before) > 60, F.substring(before, -60, 60)).otherwise(before), True)
+        said = F.regexp_extract_all(near, F.lit("[a-z']+"), F.lit(0))
+        tail = _clause(F.substring(after, 1, 40), False)
+        return ~F.arrays_overlap(said, F.array(*[F.lit(w) for w in NEGATIONS])) & ~tail.rlike(r"\b(?:is|are|was|were)\s+(?:not|never)\b")
+
+    return asks
+
+
 def upfront(description: Column) -> Column:
     """The phrases that ask for money first, in order, unless negated in their clause."""
     text = F.lower(blank(description))
@@ -48,16 +62,7 @@ def upfront(description: Column) -> Column:
     for phrase in UPFRONT:
         parts = F.split(text, phrase)  # the phrases hold no pattern characters
         places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-
-        def asks(i: Column, parts=parts, phrase=phrase) -> Column:
-            before = F.array_join(F.slice(parts, 1, i), phrase)
-            after = F.array_join(F.slice(parts, i + 1, F.size(parts)), phrase)
-            near = _clause(F.when(F.length(before) > 60, F.substring(before, -60, 60)).otherwise(before), True)
-            said = F.regexp_extract_all(near, F.lit("[a-z']+"), F.lit(0))
-            tail = _clause(F.substring(after, 1, 40), False)
-            return ~F.arrays_overlap(said, F.array(*[F.lit(w) for w in NEGATIONS])) & ~tail.rlike(r"\b(?:is|are|was|were)\s+(?:not|never)\b")
-
-        found.append(F.when(F.exists(places, asks), phrase))
+        found.append(F.when(F.exists(places, _asks(parts, phrase)), phrase))
     return F.array_compact(F.array(*found))
 
 

@@ -61,7 +61,7 @@ def sections(text: Column) -> Column:
         return state(section, F.concat(acc["blocks"], F.array(F.struct(section.alias("section"), line.alias("line")))))
 
     headed = F.aggregate(lines, state(F.lit("company_blurb"), empty), fold)["blocks"]
-    paragraphs = F.filter(F.transform(F.split(blank(text), r"\n{2,}"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(blank(text), r"\n{2,}"), lambda x: F.trim(x)), lambda p: p != "")
     clued = F.transform(paragraphs, lambda p: F.struct(_first_of(p, CLUES).alias("section"), p.alias("line")))
     rows = F.when(F.exists(lines, is_heading), headed).otherwise(clued)
     names = F.array_distinct(F.transform(rows, lambda r: r["section"]))

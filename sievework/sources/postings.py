@@ -48,13 +48,13 @@ def _list(path: str) -> Column:
     """The strings of a JSON list, or of one string; blanks dropped."""
     raw = at(path)
     listed = F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>")).when(blank(raw) != "", F.array(raw)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.transform(listed, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def _commas(path: str) -> Column:
     raw = at(path)
     parts = F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(blank(raw), ","))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _or(*cs: Column | str) -> Column:
@@ -74,7 +74,7 @@ def _place(text: Column, as_remote: tuple[str, ...] = ()) -> tuple[Column, Colum
 
 
 def _arbeitnow() -> dict[str, Column]:
-    return dict(external_id=_or(at("$.slug"), at("$.url"), ""), title=_or(at("$.title"), "Untitled Position"), company_name=_or(at("$.company_name"), "Unknown Company"), location_raw=at("$.location"), is_remote=_true("$.remote"), remote_restriction=F.lit("unspecified"), job_type=_list("$.job_types")[0], description_html=at("$.description"), apply_url=blank(at("$.url")), tags=_list("$.tags"), posted_at=instant(at("$.created_at")))
+    return dict(external_id=_or(at("$.slug"), at("$.url"), ""), title=_or(at("$.title"), "Untitled Position"), company_name=_or(at("$.company_name"), "Unknown Company"), location_raw=at("$.location"), is_remote=_true("$.remote"), remote_restriction=F.lit("unspecified"), job_type=F.get(_list("$.job_types"), 0), description_html=at("$.description"), apply_url=blank(at("$.url")), tags=_list("$.tags"), posted_at=instant(at("$.created_at")))
 
 
 def _remotive() -> dict[str, Column]:
@@ -91,7 +91,7 @@ def _weworkremotely() -> dict[str, Column]:
     raw = _or(at("$.title"), "Untitled Position")
     parts, split = F.split(raw, ": ", 2), raw.contains(": ")
     location, restriction = _place(at("$.region"))
-    return dict(external_id=_or(at("$.guid._VALUE"), at("$.guid"), at("$.link"), ""), title=F.trim(F.when(split, parts[1]).otherwise(raw)), company_name=F.trim(F.when(split, parts[0]).otherwise("Unknown Company")), location_raw=location, is_remote=F.lit(True), remote_restriction=restriction, job_type=at("$.type"), description_html=at("$.description"), apply_url=_or(at("$.link"), at("$.guid"), ""), tags=_list("$.category"), posted_at=instant(at("$.pubDate")))
+    return dict(external_id=_or(at("$.guid._VALUE"), at("$.guid"), at("$.link"), ""), title=F.trim(F.when(split, F.get(parts, 1)).otherwise(raw)), company_name=F.trim(F.when(split, F.get(parts, 0)).otherwise("Unknown Company")), location_raw=location, is_remote=F.lit(True), remote_restriction=restriction, job_type=at("$.type"), description_html=at("$.description"), apply_url=_or(at("$.link"), at("$.guid"), ""), tags=_list("$.category"), posted_at=instant(at("$.pubDate")))
 
 
 def _remoteok() -> dict[str, Column]:
@@ -101,7 +101,7 @@ def _remoteok() -> dict[str, Column]:
 
 def _jobicy() -> dict[str, Column]:
     location, restriction = _place(at("$.jobGeo"))
-    return dict(external_id=_or(at("$.id"), at("$.jobSlug"), ""), title=_or(at("$.jobTitle"), "Untitled Position"), company_name=_or(at("$.companyName"), "Unknown Company"), company_url=at("$.companyLogo"), location_raw=location, is_remote=F.lit(True), remote_restriction=restriction, job_type=_list("$.jobType")[0], description_html=at("$.jobDescription"), spare=at("$.jobExcerpt"), apply_url=blank(at("$.url")), tags=_list("$.jobIndustry"), posted_at=instant(at("$.pubDate")))
+    return dict(external_id=_or(at("$.id"), at("$.jobSlug"), ""), title=_or(at("$.jobTitle"), "Untitled Position"), company_name=_or(at("$.companyName"), "Unknown Company"), company_url=at("$.companyLogo"), location_raw=location, is_remote=F.lit(True), remote_restriction=restriction, job_type=F.get(_list("$.jobType"), 0), description_html=at("$.jobDescription"), spare=at("$.jobExcerpt"), apply_url=blank(at("$.url")), tags=_list("$.jobIndustry"), posted_at=instant(at("$.pubDate")))
 
 
 def _workingnomads() -> dict[str, Column]:
@@ -122,8 +122,8 @@ def _hackernews() -> dict[str, Column]:
     raw = blank(at("$.text"))
     first = F.when(raw.contains("<p>"), F.substring_index(raw, "<p>", 1)).otherwise(F.substring_index(raw, "\n", 1))
     header = F.trim(F.regexp_replace(F.regexp_replace(first, "<[^>]+>", " "), "&#x2F;", "/"))
-    parts = F.filter(F.transform(F.split(F.translate(header, "—–•·", "||||"), r"\|"), F.trim), lambda p: p != "")
-    head = parts[0]
+    parts = F.filter(F.transform(F.split(F.translate(header, "—–•·", "||||"), r"\|"), lambda x: F.trim(x)), lambda p: p != "")
+    head = F.get(parts, 0)
     clean = (F.size(parts) >= 2) & (F.length(head) <= 80) & ~contains_any(head, (". ", "? ", "! "))
     open_parts = F.filter(F.slice(parts, 2, 1000), lambda p: ~p.rlike(rx(URL_OR_MAIL)) & ~p.rlike(rx(PAY_PART)) & ~p.rlike(rx(WORK_PART)))
     roles = F.filter(open_parts, lambda p: p.rlike(rx(ROLE_PART)))

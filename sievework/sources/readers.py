@@ -40,7 +40,7 @@ def _strings(path: str) -> Column:
 
 
 def _geo_parts() -> Column:
-    return F.filter(F.transform(F.split(F.lower(blank(at("$.jobGeo"))), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.lower(blank(at("$.jobGeo"))), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 SOURCES = {
@@ -93,14 +93,14 @@ def read_manual_csv(spark: SparkSession, path: str, source: str = "manual:import
     if "is_remote" in d.columns:
         d = d.withColumn("is_remote", F.lower(F.trim("is_remote")).isin("true", "1", "yes"))
     if "tags" in d.columns:
-        d = d.withColumn("tags", F.filter(F.transform(F.split("tags", ","), F.trim), lambda t: t != ""))
+        d = d.withColumn("tags", F.filter(F.transform(F.split("tags", ","), lambda x: F.trim(x)), lambda t: t != ""))
     return d.select(F.lit(source).alias("source"), F.lit(None).cast("string").alias("external_id"), F.to_json(F.struct(*d.columns)).alias("payload"))
 
 
 def read_labels_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Label files: UTF-8 (a byte-order mark is read over) unless its text cannot be, then Windows-1252."""
     if encoding is None:
-        broken = spark.read.text(path).where(F.contains("value", F.lit("\ufffd"))).limit(1).count()
+        broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
         encoding = "windows-1252" if broken else "UTF-8"
     d = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
     return d.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in d.columns})
