@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.session import written
 
-K, BRANCH, LEAF_ROWS, SAMPLE, CALIBRATION, RECALL, BLOCK = 20, 8, 200, 20_000, 200, 0.97, 2048
+K, BRANCH, LEAF_ROWS, SAMPLE, CALIBRATION, RECALL, CELL, CHUNK = 20, 8, 200, 20_000, 200, 0.94, 16_384, 2048
 
 
 def valid(table: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -92,24 +92,35 @@ def _matrix(x: pd.Series) -> np.ndarray:
     return np.array(x.tolist(), np.float64)
 
 
-def top(queries: np.ndarray, qid: np.ndarray, rows: np.ndarray, rid: np.ndarray, k: int) -> pd.DataFrame:
-    """Per query its k rows of largest inner product, not itself, ties to the smaller id: query_id, vec_id, score."""
+def top(queries: np.ndarray, qid: np.ndarray, rows: np.ndarray, rid: np.ndarray, k: int, visits: np.ndarray | None = None, leaf: np.ndarray | None = None) -> pd.DataFrame:
+    """Per query its k rows of largest inner product, not itself, ties to the smaller id: query_id, vec_id, score.
+
+    visits: which leaves each query visits (queries x leaves), if not all; leaf: the leaf of each row.
+    """
     out = []
     for at in range(0, len(queries), 64):
-        q, ids = queries[at : at + 64], qid[at : at + 64]
-        rough = q @ rows.T
-        rough[ids[:, None] == rid[None]] = -np.inf
-        if len(rid) > k:
-            floor = np.partition(rough, len(rid) - k, axis=1)[:, len(rid) - k]
+        q, ids, r, names = queries[at : at + 64], qid[at : at + 64], rows, rid
+        rough = None
+        if visits is not None:
+            seen = visits[at : at + 64]
+            some = seen.any(axis=0)[leaf]  # rows that no query of this block visits are not touched
+            r, names, held = rows[some], rid[some], leaf[some]
+            rough = q @ r.T
+            rough[~seen[:, held]] = -np.inf
+        else:
+            rough = q @ r.T
+        rough[ids[:, None] == names[None]] = -np.inf
+        if len(names) > k:
+            floor = np.partition(rough, len(names) - k, axis=1)[:, len(names) - k]
         else:
             floor = np.full(len(q), -np.inf)
-        i, j = np.nonzero((rough >= (floor - 1e-9 * np.maximum(1, np.abs(floor)))[:, None]) & np.isfinite(rough))
-        score = (q[i] * rows[j]).sum(axis=1)  # summed alike for every pair, so equal vectors tie
-        order = np.lexsort((rid[j], -score, i))
+        near = np.where(np.isfinite(floor), floor - 1e-9 * np.maximum(1, np.abs(floor)), -np.inf)
+        i, j = np.nonzero((rough >= near[:, None]) & np.isfinite(rough))
+        score = (q[i] * r[j]).sum(axis=1)  # summed alike for every pair, so equal vectors tie
+        order = np.lexsort((names[j], -score, i))
         i, j, score = i[order], j[order], score[order]
-        first = np.searchsorted(i, i)
-        keep = np.arange(len(i)) - first < k
-        out.append(pd.DataFrame({"query_id": ids[i[keep]], "vec_id": rid[j[keep]], "score": score[keep]}))
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append(pd.DataFrame({"query_id": ids[i[keep]], "vec_id": names[j[keep]], "score": score[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
 
@@ -139,8 +150,9 @@ def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
 
     The tree is fitted on at most `sample` rows in hash order of the id and indexes every row. `calibration`
     queries are answered by brute force as well; leaf visits widen until their mean recall reaches `recall`, and
-    every query then visits so many leaves, and more until these hold k other rows. Leaves and the queries that
-    visit them are dealt out in blocks of bounded size, so a crowded leaf is many tasks. Rows without an id or
+    every query then visits so many leaves, and more until these hold k other rows. Leaves are gathered into cells
+    of bounded size (a crowded leaf fills several) and the queries that visit a cell into chunks, so that a task
+    returns a query's best of many leaves at once. Rows without an id or
     with a null, zero, ragged or non-finite vector take no part; rows with the query's id are its own.
     """
     spark = table.sparkSession
@@ -172,32 +184,48 @@ def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
     visits, most = 1, len(tree.leaf_of)
     while visits < most and np.mean([np.mean([x <= visits for x in one]) for one in ranks if one] or [1]) < recall:
         visits += 1
-    blocks = {name: -(-n // BLOCK) for name, n in sizes.items()}
+    cell_of, cell, room = {}, 0, CELL  # leaves beside each other share a cell; a crowded leaf fills several
+    for name in sorted(sizes):
+        parts = -(-sizes[name] // CELL)
+        for part in range(parts):
+            need = min(CELL, -(-sizes[name] // parts))
+            if need > room:
+                cell, room = cell + 1, CELL
+            cell_of[name, part] = cell
+            room -= need
+    cells: dict[int, list[int]] = {}
+    for (name, _), c in cell_of.items():
+        cells.setdefault(name, []).append(c)
 
     def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for i, x in zip(part["id"], part["x"]):
-                held, n = 0, 0
+                held, n, seen = 0, 0, {}
                 for name in shared.value.leaves(np.asarray(x, np.float64)):
                     n, held = n + 1, held + sizes.get(name, 0)
-                    out += [(i, name, b) for b in range(blocks.get(name, 0))]
+                    for c in set(cells.get(name, ())):
+                        seen.setdefault(c, []).append(name)
                     if n >= visits and held > k:
                         break
-            yield pd.DataFrame(out, columns=["id", "leaf", "block"])
-
-    visited = written(asked.mapInPandas(visit, "id long, leaf int, block int"), "visits")
-    crowds = visited.groupBy("leaf").agg(F.countDistinct("id").alias("n")).collect()  # a row for each leaf
-    dealt = spark.createDataFrame([(r["leaf"], blocks[r["leaf"]], -(-r["n"] // BLOCK)) for r in crowds], "leaf int, blocks int, chunks int")
-    chunk = F.pmod(F.xxhash64("id", F.lit(3)), "chunks").cast("int")
-    left = visited.join(asked, "id").join(F.broadcast(dealt), "leaf").select("leaf", "block", chunk.alias("chunk"), "id", "x")
-    right = placed.join(F.broadcast(dealt), "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "x")
+                out += [(i, x, c, names) for c, names in seen.items()]
+            yield pd.DataFrame(out, columns=["id", "x", "cell", "leaves"])
+
+    visited = written(asked.mapInPandas(visit, "id long, x array<double>, cell int, leaves array<int>"), "visits")
+    crowds = visited.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row for each cell
+    dealt = spark.createDataFrame([(r["cell"], -(-r["n"] // CHUNK)) for r in crowds], "cell int, chunks int")
+    where = spark.createDataFrame([(name, part, -(-sizes[name] // CELL), c) for (name, part), c in cell_of.items()], "leaf int, block int, blocks int, cell int")
+    left = visited.join(F.broadcast(dealt), "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(3)), "chunks").cast("int").alias("chunk"), "id", "x", "leaves")
+    blocked = placed.join(F.broadcast(where.select("leaf", "blocks").distinct()), "leaf").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int"))
+    right = blocked.join(F.broadcast(where.drop("blocks")), ["leaf", "block"]).join(F.broadcast(dealt), "cell")
+    right = right.select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "x", "leaf")
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return top(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), k)
-        return top(_matrix(q["x"]), q["id"].to_numpy(np.int64), _matrix(r["x"]), r["id"].to_numpy(np.int64), k)
+        names, leaf = np.unique(r["leaf"].to_numpy(), return_inverse=True)
+        visits_of = np.array([np.isin(names, x) for x in q["leaves"]])
+        return top(_matrix(q["x"]), q["id"].to_numpy(np.int64), _matrix(r["x"]), r["id"].to_numpy(np.int64), k, visits_of, leaf)
 
-    keys = ["leaf", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, _TOP)
+    found = left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInPandas(compare, _TOP)
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
