@@ -75,12 +75,14 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> di
     """EM on vote patterns and their counts: the posterior probability of quality for each pattern.
 
     Two classes; each rule votes, given that it votes, bad with a rate of its own in either class, and abstains
-    alike in both. Rates have Beta priors that say which class is which; it starts from "bad if any rule says so".
+    alike in both. Rates have Beta priors that say which class is which; it starts from "bad if any rule says so",
+    but for rules that call most documents bad, which tell nothing apart.
     """
     if not patterns:
         return {}
     k, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    bad = {p: 0.9 if -1 in p else 0.05 for p, _ in patterns}
+    told = [2 * sum(n for p, n in patterns if p[j] < 0) < sum(n for p, n in patterns if p[j]) for j in range(k)]
+    bad = {p: 0.9 if any(v < 0 and t for v, t in zip(p, told)) else 0.05 for p, _ in patterns}
     for _ in range(rounds):
         share = (sum(bad[p] * n for p, n in patterns) + 1) / (total + 10)
         rate = []
