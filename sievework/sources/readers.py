@@ -98,10 +98,10 @@ def read_manual_csv(spark: SparkSession, path: str, source: str = "manual:import
 
 
 def read_labels_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Label files: UTF-8 (a byte-order mark is read over) unless its text cannot be, then Windows-1252."""
+    """Label files: UTF-8 (a byte-order mark is read over) unless its text cannot be, then Latin-1."""
     if encoding is None:
         broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-        encoding = "windows-1252" if broken else "UTF-8"
+        encoding = "ISO-8859-1" if broken else "UTF-8"
     d = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
     return d.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in d.columns})
 
