@@ -292,3 +292,30 @@ def test_models(spark):
     got = models.evaluate(d, ["title_keyword_rule", "char_ngram_title", "composite_rule_title"], k=6)
     assert all(g["p_at_k"] == 1 and g["roc_auc"] == 1 for g in got)
     assert models.promoted({"roc_auc": 0.8}, {"roc_auc": 0.9}, 0.75) and not models.promoted({"roc_auc": 0.88}, {"roc_auc": 0.9}, 0.75)
+
+
+def test_advice_and_config(spark, tmp_path):
+    from sievework.operators import advise
+    from sievework.sources import config
+
+    r = spark.range(1).select(advise.advise(F.lit("onsite"), F.array(F.lit("US only")), F.lit("citizen"), F.lit("Lead"), F.lit(5.0), F.lit(True)).alias("a")).first()["a"]
+    assert (r["accessible"], r["flags"], r["codes"], r["seniority"], r["degree"]) == (False, ["ONSITE_LOCATION", "US_LOCKED", "WORK_AUTH_BARRIER"], ["NOT_REMOTE", "REGION_LOCKED", "TOO_SENIOR", "DEGREE_OR_EXP"], "too_senior", "degree_mandatory")
+    r = spark.range(1).select(advise.advise(F.lit("remote"), F.lit(None).cast("array<string>"), F.lit(None).cast("string"), F.lit("junior"), F.lit(None).cast("double"), F.lit(None).cast("boolean")).alias("a")).first()["a"]
+    assert (r["accessible"], r["codes"], r["experience"]) == (True, [], "unknown")
+    (tmp_path / "g.json").write_text('{"accept": 80, "platforms": ["x.io"]}')
+    g = config.gate_config(config.load(str(tmp_path / "g.json")))
+    assert (g.accept, g.platforms, len(config.version(str(tmp_path / "g.json")))) == (80, ("x.io",), 12)
+    with pytest.raises(ValueError):
+        config.gate_config({"odd": 1})
+    assert advise.regressions([{"scorer": "a", "roc_auc": 0.9}], [{"scorer": "a", "roc_auc": 0.8}]) == ["a"]
+
+
+def test_streaming_upsert(spark, tmp_path):
+    from sievework.streaming import flows
+
+    spark.createDataFrame([("a", 1, 5, "p"), ("b", 2, 6, None)], "k string, o int, v int, t string").write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second run finds nothing new, or one more file
+        flows.upsert_stream(flows.read_files(spark, f"{tmp_path}/in"), f"{tmp_path}/table", ["k"], ["v"], ["t"], "o")
+        spark.createDataFrame([("a", 3, 7, None)], "k string, o int, v int, t string").write.mode("append").parquet(f"{tmp_path}/in")
+    got = spark.read.parquet(f"{tmp_path}/table/v=1")
+    assert sorted(map(tuple, got.select("k", "v", "t").collect())) == [("a", 7, "p"), ("b", 6, None)]
