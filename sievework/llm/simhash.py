@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.components import connected_components
-from sievework.session import fresh, written
+from sievework.session import fresh, mark, release, written
 
 SHINGLE, RADIUS, TILE, SEED = 4, 4, 8192, 42
+#: So many ids (8 bytes each) may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -159,7 +161,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius
     their component has no other, one of them. An empty table stays empty.
     """
     (key,) = fresh(docs, "_id")
+    began = mark()
     named = written(near_duplicates(docs, id_col, text, radius).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)), "kept")
     rows, ids = named.count(), named.distinct().count()
-    out = docs.join(named.distinct(), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+    release(docs.sparkSession, began, but=named)
+    wanted = F.broadcast(named.distinct()) if ids <= BROADCAST_IDS else named.distinct()
+    out = docs.join(wanted, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
     return out if rows == ids else out.dropDuplicates([id_col])
