@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import lines, packing, quality, simhash, toxicity
 from sievework.llm.queries import vocabulary
-from sievework.session import fresh, written
+from sievework.session import fresh, release, written
 
 #: No row of the last stage can be told in SQL: EM, gradient descent and column generation stand before it.
 ORACLE_SQL = None
@@ -15,12 +15,14 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality passes; the rest go."""
+    release(spark)  # what the stage before needed; its result is stored
     judged = quality.judged(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text")
     return judged.where("kept").select("_row.*")
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the rest go."""
+    release(spark)  # what the stage before needed; its result is stored
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     (score,) = fresh(docs, "_toxic")
     return toxicity.scores(docs, model, to=score).where(F.col(score) < 0.5).drop(score)
@@ -28,16 +30,19 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat an earlier one."""
+    release(spark)  # what the stage before needed; its result is stored
     return lines.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    release(spark)  # what the stage before needed; its result is stored
     return simhash.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
+    release(spark)  # what the stage before needed; its result is stored
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -54,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
