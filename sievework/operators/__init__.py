@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators: functions of DataFrames and columns, each a plan that Catalyst can optimise."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Named queries and the SQL that gives the same rows."""

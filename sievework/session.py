@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sievework") -> SparkSession:
-    """A local session with the settings the engine is written for: UTC, AQE, kryo-free defaults."""
+    """A local session with the settings the engine is written for: UTC and AQE."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)

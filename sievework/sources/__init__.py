@@ -1 +1 @@
-"""See the package docstring."""
+"""Sources: readers of captured payloads, transformers to one schema, configuration files."""
