@@ -105,7 +105,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> di
     return {p: 1 - x for p, x in bad.items()}
 
 
-def judged(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
     """Add base counts, base_failed, p_quality and kept to every row of docs, without its text.
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows. kept: not base_failed, and a
