@@ -244,11 +244,12 @@ def disqualification_examples(spark, sf_dir):
     return reports.examples(table(spark, sf_dir, "documents").where("n_chars < 400"), "lang", "doc_id", 3)
 
 
-@query("customer_spend_topk", "SELECT c_custkey, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS spend FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY spend DESC, c_custkey LIMIT 50")
+@query("customer_spend_topk", "SELECT c_custkey, n_name, CAST(sum(floor(l_extendedprice * (1 - l_discount) * 10000 + 0.5)) AS BIGINT) AS spend FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY spend DESC, c_custkey LIMIT 50")
 def customer_spend_topk(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v")).groupBy("l_orderkey").agg(F.sum("v").alias("v"))
+    # in ten-thousandths, so that sums are exact in any order
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000 + 0.5).alias("v")).groupBy("l_orderkey").agg(F.sum("v").alias("v"))
     d = line.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), line["l_orderkey"] == F.col("o_orderkey"))
-    spend = d.groupBy("o_custkey").agg(F.round(F.sum("v"), 2).alias("spend"))
+    spend = d.groupBy("o_custkey").agg(F.sum("v").alias("spend"))
     who = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     return spend.join(who, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "n_name", "spend").orderBy(F.desc("spend"), "c_custkey").limit(50)
 
