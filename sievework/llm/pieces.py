@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sievework.session import written
 
-CHUNK, SEGMENT, CACHED_WORDS = 1 << 15, 64, 400_000
+CHUNK, SEGMENT, CACHED_WORDS = 1 << 16, 64, 250_000
 NONE = -np.inf
 SPACE = "▁"
 little_endian = np.little_endian and array("I").itemsize == 4
@@ -40,7 +40,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.piece, self.score, self.id, self.prefix = [], {}, {}, set()
+        self.piece, self.score, self.id, prefix = [], {}, {}, set()
         worst = 0.0
         self.byte = {}
         for i in range(sp.get_piece_size()):
@@ -55,16 +55,22 @@ class Vocabulary:
                 s = zipf(s)
                 self.id[p], self.score[p] = i, s
                 worst = min(worst, s)
-                self.prefix.update(p[:k] for k in range(1, len(p) + 1))
+                prefix.update(p[:k] for k in range(1, len(p) + 1))
         self.unknown, self.longest = worst - 10, max(map(len, self.id))
         #: characters that no longer piece holds: hard boundaries on both sides
         joined = {c for p in self.id if len(p) > 1 for c in p}
         self.alone = "".join(c for c in "\n\r\t\v\f" if c not in joined)
         self.words = self._boundaries()
         #: score of each piece, none for what only begins one
-        self.arc = {p: self.score.get(p) for p in self.prefix}
+        self.arc = {p: self.score.get(p) for p in prefix}
+        #: score of each id: a character without a piece costs once, at its first byte
+        self.by_id = np.zeros(len(self.piece))
+        self.by_id[list(self.id.values())] = [self.score[p] for p in self.id]
+        self.by_id[np.array([i for b, i in self.byte.items() if not 0x80 <= b < 0xC0], int)] = self.unknown
+        self.is_byte = np.zeros(len(self.piece), bool)
+        self.is_byte[np.array(list(self.byte.values()), int)] = True
+        self.byte_of = {i: b for b, i in self.byte.items()}
         self.memo: dict[str, bytes] = {}
-        self.worth: dict[str, float] = {}
 
     def _boundaries(self) -> re.Pattern:
         """A pattern whose matches no piece crosses: spaces and a run of letters, or of other characters.
@@ -87,9 +93,9 @@ class Vocabulary:
         single = False
         for j in range(i + 1, min(end, i + self.longest) + 1):
             w = t[i:j]
-            if w not in self.prefix:
+            s = self.arc.get(w, 0)
+            if s == 0:  # no piece begins so
                 break
-            s = self.score.get(w)
             if s is not None:
                 single |= j == i + 1
                 yield j, s
@@ -114,7 +120,7 @@ class Vocabulary:
         out = []
         for a, b in zip(cuts, cuts[1:]):
             i = self.id.get(t[a:b])
-            out += [i] if i is not None else [self.byte[c] for c in t[a:b].encode("utf-8", "replace")]
+            out += [i] if i is not None else [self.byte.get(c, 0) for c in t[a:b].encode("utf-8", "replace")]
         return array("I", out).tobytes() if little_endian else np.array(out, "<u4").tobytes()
 
     def trace(self, t: str, start: int, end: int) -> list[int]:
@@ -125,7 +131,7 @@ class Vocabulary:
             cuts.append(start + j)
         return cuts[::-1]
 
-    def word(self, w: str) -> tuple[bytes, float]:
+    def word(self, w: str) -> bytes:
         n, get, longest, unknown = len(w), self.arc.get, self.longest, self.unknown
         best, back = [NONE] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
@@ -147,23 +153,19 @@ class Vocabulary:
         while j:
             j = back[j]
             cuts.append(j)
-        return self.ids(w, cuts[::-1]), best[-1]
+        return self.ids(w, cuts[::-1])
 
     def encode(self, t: str) -> tuple[bytes, float]:
         """Ids (little-endian unsigned 32-bit) and score of a normalized text; words between hard boundaries are remembered."""
-        words = self.words.findall(t)
-        memo, worth = self.memo, self.worth
-        extra: dict[str, tuple[bytes, float]] = {}
-        for w in words:
-            if w not in memo and w not in extra:
-                got = self.word(w)
-                if len(memo) < CACHED_WORDS and len(w) < 64:
-                    memo[w], worth[w] = got
+        words, memo, extra = self.words.findall(t), self.memo, {}
+        for w in set(words):
+            if w not in memo:
+                if len(memo) < CACHED_WORDS and len(w) < 32:
+                    memo[w] = self.word(w)
                 else:
-                    extra[w] = got
-        if extra:
-            return b"".join([memo[w] if w in memo else extra[w][0] for w in words]), float(sum([worth[w] if w in worth else extra[w][1] for w in words]))
-        return b"".join(map(memo.__getitem__, words)), float(sum(map(worth.__getitem__, words)))
+                    extra[w] = self.word(w)
+        ids = b"".join([memo[w] if w in memo else extra[w] for w in words]) if extra else b"".join(map(memo.__getitem__, words))
+        return ids, float(self.by_id[np.frombuffer(ids, "<u4")].sum())
 
     def boundaries(self, t: str, n: int) -> list[int]:
         """The hard boundaries of t up to position n, its start left out."""
@@ -214,23 +216,15 @@ class Vocabulary:
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: pieces joined, runs of byte pieces decoded, spaces restored, the one before the text dropped."""
-        out, run = [], bytearray()
         numbers = np.frombuffer(ids, "<u4")
-        low, high = min(self.byte.values(), default=0), max(self.byte.values(), default=-1)
-        if not ((numbers >= low) & (numbers <= high)).any():
-            text = "".join(map(self.piece.__getitem__, numbers.tolist()))
-        else:
-            value = {i: b for b, i in self.byte.items()}
-            for i in numbers.tolist():
-                if i in value:
-                    run.append(value[i])
-                else:
-                    if run:
-                        out.append(run.decode("utf-8", "replace"))
-                        run.clear()
-                    out.append(self.piece[i])
-            out.append(run.decode("utf-8", "replace"))
-            text = "".join(out)
+        at = np.nonzero(self.is_byte[numbers])[0]
+        get, n = self.piece.__getitem__, numbers.tolist()
+        out, last = [], 0
+        for run in np.split(at, np.nonzero(np.diff(at) > 1)[0] + 1) if len(at) else ():
+            out.append("".join(map(get, n[last : run[0]])))
+            last = int(run[-1]) + 1
+            out.append(bytes(self.byte_of[i] for i in n[run[0] : last]).decode("utf-8", "replace"))
+        text = "".join([*out, "".join(map(get, n[last:]))])
         return text.replace(SPACE, " ")[1:]
 
 
