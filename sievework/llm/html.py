@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.sample import bounded
+
 SAMPLE_PAGES = 400
 ADJACENT, SIBLING = 0.8, 0.6
 _MARKUP = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -285,8 +287,7 @@ def extract(page: str | None, weights: np.ndarray) -> list[tuple[str, bool, floa
 
 def train(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE_PAGES) -> np.ndarray:
     """Fit the block classifier on at most so many pages, in hash order of the key."""
-    rows = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).orderBy(F.xxhash64("k"), "k").limit(sample).collect()
-    return fit([r["h"] for r in rows])
+    return fit([r["h"] for r in bounded(pages.select(F.col(key).alias("k"), F.col(html).alias("h")), "k", sample)])
 
 
 def main_text(pages: DataFrame, weights: np.ndarray, html: str = "html", to: str = "text") -> DataFrame:

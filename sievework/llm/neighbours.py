@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.llm.sample import bounded
 from sievework.session import written
 
 K, BRANCH, LEAF_ROWS, SAMPLE, CALIBRATION, RECALL, CELL, CHUNK = 20, 8, 200, 20_000, 200, 0.94, 16_384, 2048
@@ -160,7 +161,7 @@ def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(x, 0D, (a, v) -> a + v * v)")).alias("m")).first()
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # bounded
+    drawn = bounded(vectors, "id", sample, stats["n"])
     leaf = max(4, int(leaf_rows * min(1, len(drawn) / stats["n"])))
     tree = Tree(np.array([r["x"] for r in drawn], np.float64), float(np.sqrt(stats["m"])), leaf)
     shared = spark.sparkContext.broadcast(tree)  # at most sample / 4 leaves
@@ -172,7 +173,7 @@ def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
 
     placed = written(vectors.mapInPandas(assign, "id long, x array<double>, leaf int"), "leaves")
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    trial = asked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(calibration).collect()
+    trial = bounded(asked, "id", calibration)
     truth = exact(placed, trial, k).join(placed.select(F.col("id").alias("vec_id"), "leaf").dropDuplicates(["vec_id"]), "vec_id").select("query_id", "leaf").collect()
     wanted: dict[int, list[int]] = {}
     for r in truth:

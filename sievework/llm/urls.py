@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.sample import frequent
+from sievework.session import written
+
 #: Words that mark a host as unwanted, the weak labels that naive Bayes learns from.
 SEEDS = frozenset("casino poker betting bets gamble gambling slots jackpot adult porn sex xxx nude escort spam malware phishing warez torrent crack keygen pills viagra cialis pharmacy ads adserver popup clickbait payday loans replica".split())
 #: Words that concatenated host names are often made of, beside those that the corpus shows.
@@ -80,8 +83,8 @@ class Segmenter:
 def words(pages: DataFrame, html: str = "html", most: int = VOCABULARY) -> dict[str, int]:
     """Counts of the letter words in the titles of all pages: those of at most so many most frequent words."""
     title = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1))
-    counted = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z]{2,24}"), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    found = {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()}
+    counted = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z]{2,24}"), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    found = dict(frequent(written(counted, "words"), most))
     floor = max(1, sum(found.values()) // 5000)
     return found | {w: max(floor, found.get(w, 0)) for w in sorted(SEEDS | COMMON)}
 
