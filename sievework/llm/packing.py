@@ -17,13 +17,22 @@ from pyspark.sql import functions as F
 
 from sievework.session import written
 
-TARGET, GRID, END_ID, CACHED_WORDS = 2048, 4, 1, 300_000
+TARGET, GRID, END_ID, CACHED_WORDS, CHARS = 2048, 4, 1, 300_000, 4_000_000
 #: Letters that NFC leaves alone and whose lower-case form is one letter, so that a word can be encoded by itself.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-įı-ſ]*")
 #: The pre-tokenizer of the vocabulary file over that alphabet in lower case.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
 
 
+class _Memo(dict):
+    """Ids of frequent words; those of a batch's other words are in extra."""
+
+    extra: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
+
 class WordEncoder:
     """Whole texts to ids, as the tokenizers library gives them, with the pieces of frequent words remembered.
 
@@ -35,7 +44,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.memo = Tokenizer.from_file(path), {}
+        self.tok, self.memo = Tokenizer.from_file(path), _Memo()
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers, the end id included."""
@@ -43,15 +52,14 @@ class WordEncoder:
         split = [_WORD.findall(t.lower()) if (t := x or "") is not None and _PLAIN.fullmatch(t) and "<|" not in t else None for x in texts]
         memo = self.memo
         missing = list(set().union(*[w for w in split if w]) - memo.keys())
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, self.tok.encode_batch(missing, add_special_tokens=False))}
+        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False))}
         if len(memo) < CACHED_WORDS:
             memo.update(found)
             found = {}
+        memo.extra = found
         for text, words in zip(texts, split):
             if words is None:
                 yield np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-            elif found:
-                yield b"".join([memo[w] if w in memo else found[w] for w in words]) + end
             else:
                 yield b"".join(map(memo.__getitem__, words)) + end
 
@@ -62,8 +70,23 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def cuts(n: int, target: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of n tokens: full ones, then a half if more is left, then the rest.
+
+    A rest of more than half the target would seldom find a partner; two halves fill a sequence, and so do the
+    many combinations of what is shorter.
+    """
+    half = target // 2
+    out = [(at, target) for at in range(0, n - n % target, target)]
+    at = n - n % target
+    if n - at > half:
+        out.append((at, half))
+        at += half
+    return [*out, (at, n - at)] if at < n else out
+
+
 def pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text: str = "text", target: int = TARGET, grid: int = GRID) -> DataFrame:
-    """Tokenize whole texts and cut them into full pieces of the target length and one remainder each.
+    """Tokenize whole texts and cut them: see cuts().
 
     Columns: id, start, length, ids_crc32, doc_tokens, class (length in grid steps, rounded up), and part, rank:
     a numbering of each class inside each input partition. Null and empty texts are one piece: the end id.
@@ -74,12 +97,11 @@ def pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text: str = "tex
         encode, seen, part = encoder(vocab), Counter(), TaskContext.get().partitionId()
         for frame in parts:
             out = []
-            for at in range(0, len(frame), 256):
-                chunk = frame.iloc[at : at + 256]
+            some = frame["text"].str.len().fillna(0).to_numpy().cumsum() // CHARS  # bounded memory
+            for _, chunk in frame.groupby(some, sort=False):
                 for i, ids in zip(chunk["id"], encode(chunk["text"].tolist())):
                     n = len(ids) // 4
-                    for start in range(0, n, target):
-                        length = min(target, n - start)
+                    for start, length in cuts(n, target):
                         c = -(-length // grid)
                         out.append((i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, c, part, seen[c]))
                         seen[c] += 1
@@ -184,8 +206,8 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int, int]
 def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text: str = "text", target: int = TARGET, grid: int = GRID) -> DataFrame:
     """Pack whole documents into sequences of at most target tokens: one row for each piece.
 
-    Columns: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is cut only at multiples
-    of the target; its remainder stays whole. The histogram has target/grid classes at most, whatever the corpus,
+    Columns: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is cut at multiples
+    of the target and at most once more, at a half; what is left stays whole. The histogram has target/grid classes at most, whatever the corpus,
     and is all that reaches the driver; documents are ranked inside each class through counts by input partition,
     so no class is gathered. Repeated rows and null ids are packed like any other; an empty table gives none.
     """
