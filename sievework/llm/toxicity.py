@@ -42,7 +42,7 @@ class Model:
     def word(self, w: str) -> float:
         x = self._memo.get(w)
         if x is None:
-            if len(self._memo) >= 1 << 18:  # bounded memory
+            if len(self._memo) >= 1 << 17:  # bounded memory
                 self._memo.clear()
             x = self._memo[w] = sum(self.weights.get(f, 0.0) for f in features_of(w))
         return x
