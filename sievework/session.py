@@ -84,3 +84,15 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
         taken.add(base.lower())
         out.append(base)
     return out
+
+
+#: Rows of whole texts that pass to a Python worker at a time.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts, which hold 10,000 rows by default, so that a worker holds some MB of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
