@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.session import written
+from sievework.session import text_batches, written
 
 TARGET, GRID, END_ID, CACHED_WORDS, CHARS = 2048, 4, 1, 300_000, 4_000_000
 #: Letters that NFC leaves alone and whose lower-case form is one letter, so that a word can be encoded by itself.
@@ -91,6 +91,7 @@ def pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text: str = "tex
     Columns: id, start, length, ids_crc32, doc_tokens, class (length in grid steps, rounded up), and part, rank:
     a numbering of each class inside each input partition. Null and empty texts are one piece: the end id.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

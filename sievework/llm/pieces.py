@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import written
+from sievework.session import text_batches, written
 
-CHUNK, SEGMENT, CACHED_WORDS = 1 << 16, 64, 250_000
+CHUNK, SEGMENT, CACHED_WORDS = 1 << 16, 64, 100_000
 NONE = -np.inf
 SPACE = "▁"
 little_endian = np.little_endian and array("I").itemsize == 4
@@ -266,6 +266,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids", sco
     the states found go back down, and every chunk is traced by itself. Null and empty texts have no ids and score 0.
     Rows with equal giant texts share one segmentation, so null or repeated ids do not matter.
     """
+    text_batches(docs.sparkSession)
     boxed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     giant = boxed.where(F.length("_text") > chunk).select(F.sha2("_text", 256).alias("key"), "_text").dropDuplicates(["key"])
 

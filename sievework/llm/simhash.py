@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.components import connected_components
-from sievework.session import fresh, mark, release, written
+from sievework.session import fresh, mark, release, text_batches, written
 
 SHINGLE, RADIUS, TILE, SEED = 4, 4, 8192, 42
 #: So many ids (8 bytes each) may be broadcast; more are joined by shuffle.
@@ -44,6 +44,8 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFra
     in over half the hashes. Null and blank texts get 0.
     """
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:

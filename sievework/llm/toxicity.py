@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import text_batches
+
 TRAIN_ROWS, FEATURES, LEAST_DOCS = 5_000, 3072, 4
 _SENTENCE = re.compile(r"(?<=[.!?])[\s]+|\n+")
 _WORD = re.compile(r"[^\W_]+")
@@ -132,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 def scores(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """Add the toxicity of every whole text, from 0 to 1; texts without a sentence (null, empty, blank) get the prior."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES weights
 
     @F.pandas_udf("double")
