@@ -15,7 +15,7 @@ from sievework.llm.components import connected_components
 from sievework.session import fresh, mark, release, text_batches, written
 
 SHINGLE, RADIUS, TILE, SEED = 4, 4, 8192, 42
-#: So many ids (8 bytes each) may be broadcast; more are joined by shuffle.
+#: So many ids and text hashes (16 bytes) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -148,25 +148,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     come back repeated; other columns are left out; an empty table gives an empty result.
     """
     fps = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", "fp"), "fingerprints")
-    groups = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "groups")
-    node = connected_components(links(groups.select("fp"), radius, tile)).withColumnsRenamed({"node": "fp", "component": "root"})
-    rooted = groups.join(node, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(fps, F.min("id").alias("least"), radius, tile)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def _rooted(fps: DataFrame, least: Column, radius: int, tile: int) -> DataFrame:
+    """One row per distinct fingerprint: fp, root (which names its component), and an aggregate over its rows."""
+    groups = written(fps.groupBy("fp").agg(least), "groups")
+    node = connected_components(links(groups.select("fp"), radius, tile)).withColumnsRenamed({"node": "fp", "component": "root"})
+    return groups.join(node, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """docs with one document of each near-duplicate component: the one with the smallest id.
 
-    Columns stay. Rows that share an id and its component count as one document; rows without an id stay only if
-    their component has no other, one of them. An empty table stays empty.
+    Columns stay. A survivor is known by its id and a 64-bit hash of its text, so unlike documents that share an
+    id, or have none, each keep their own component's place; a row without an id stays only if its component holds
+    no other. Rows alike in id and text are one document. An empty table stays empty.
     """
-    (key,) = fresh(docs, "_id")
+    key, th, hashed = fresh(docs, "_id", "_th", "_hash")
     began = mark()
-    named = written(near_duplicates(docs, id_col, text, radius).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)), "kept")
-    rows, ids = named.count(), named.distinct().count()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    fps = written(fingerprints(rows).select("id", "th", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")  # a null id comes last
+    named = _rooted(fps, first, radius, tile).groupBy("root").agg(F.min("first").alias("first"))
+    named = written(named.select(F.col("first.id").alias(key), F.col("first.th").alias(th)), "kept")
+    ids = named.count()
+    wanted = F.broadcast(named) if ids <= BROADCAST_IDS else named
+    copies = fps.join(wanted, F.col("id").eqNullSafe(F.col(key)) & (F.col("th") == F.col(th)), "left_semi").count()
     release(docs.sparkSession, began, but=named)
-    wanted = F.broadcast(named.distinct()) if ids <= BROADCAST_IDS else named.distinct()
-    out = docs.join(wanted, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
-    return out if rows == ids else out.dropDuplicates([id_col])
+    boxed = docs.withColumn(hashed, F.xxhash64(text))
+    out = boxed.join(wanted, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(hashed) == F.col(th)), "left_semi")
+    return (out if copies == ids else out.dropDuplicates([id_col, hashed])).drop(hashed)
