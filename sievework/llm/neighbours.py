@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievework.llm.sample import bounded
 from sievework.session import written
 
-K, BRANCH, LEAF_ROWS, SAMPLE, CALIBRATION, RECALL, CELL, CHUNK = 20, 8, 200, 20_000, 200, 0.94, 16_384, 2048
+K, BRANCH, LEAF_ROWS, SAMPLE, CALIBRATION, RECALL, CELL, CHUNK = 20, 8, 200, 20_000, 200, 0.97, 16_384, 2048
 
 
 def valid(table: DataFrame, id_col: str, vector: str) -> DataFrame:
