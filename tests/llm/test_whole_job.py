@@ -58,3 +58,31 @@ def test_bands_at_the_threshold(spark):
         m = {x["h"]: np.array([x[f"m{k}"] for k in range(lines.MINS)]) for x in signed}
         shared = [any((m[2 * i][b] == m[2 * i + 1][b]).all() for b in lines.bands()) for i in range(1000)]
         assert np.mean(shared) >= 0.985, union
+
+
+def test_line_dedup_many_groups_in_one_bucket(spark):
+    """Variants of one template, unlike each other, in groups of near copies: what stays is what all pairs give."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, texts = word(80), []
+    for _ in range(60):
+        slot = word(12)
+        texts += [common + slot + word(6) for _ in range(3)]
+    r.shuffle(texts)
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    kept = {i for i in range(len(texts)) if find(i) == i}
+    assert 40 <= len(kept) <= 60
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in lines.dedup_lines(d).where("text != ''").collect()} == kept
