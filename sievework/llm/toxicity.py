@@ -6,6 +6,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sievework.session import text_batches
 
-TRAIN_ROWS, FEATURES, LEAST_DOCS = 5_000, 3072, 4
+TRAIN_ROWS, FEATURES, LEAST_DOCS, MOST = 5_000, 3072, 4, 1 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])[\s]+|\n+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -71,17 +72,22 @@ class Model:
 def _select(texts: list[str | None], y: np.ndarray, features: int) -> list[str]:
     """The features whose presence differs most between the labels, by the chi-square of document counts."""
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    seen = (Counter(), Counter())
-    for text, label in zip(texts, y):
-        seen[int(label)].update({f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w)})
-        if len(seen[0]) > 1 << 20:  # bounded memory: features seen once so far are forgotten
-            seen = tuple(Counter({f: n for f, n in c.items() if n > 1}) for c in seen)
-    scored = []
-    for w in seen[1].keys() | seen[0].keys():
-        a, b = seen[1][w], seen[0][w]
-        if a + b >= LEAST_DOCS:
-            p = (a + b) / (n1 + n0)
-            scored.append(((a / n1 - b / n0) ** 2 / (p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12), w))
+    scored, parts = [], [(1, 0)]
+    while parts:  # bounded memory: features over MOST are counted in parts by their hash, and none is forgotten
+        of, part = parts.pop()
+        seen = (Counter(), Counter())
+        for text, label in zip(texts, y):
+            found = {f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w)}
+            seen[int(label)].update(found if of == 1 else (f for f in found if crc32(f.encode("utf-8", "surrogatepass")) % of == part))
+            if len(seen[0]) + len(seen[1]) > MOST:
+                parts += [(2 * of, part), (2 * of, part + of)]
+                break
+        else:
+            for w in seen[1].keys() | seen[0].keys():
+                a, b = seen[1][w], seen[0][w]
+                if a + b >= LEAST_DOCS:
+                    p = (a + b) / (n1 + n0)
+                    scored.append(((a / n1 - b / n0) ** 2 / (p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12), w))
     return [w for x, w in sorted(scored, key=lambda t: (-t[0], t[1]))[:features] if x > 3.8]
 
 

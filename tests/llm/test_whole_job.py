@@ -86,3 +86,10 @@ def test_line_dedup_many_groups_in_one_bucket(spark):
     assert 40 <= len(kept) <= 60
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {x["doc_id"] for x in lines.dedup_lines(d).where("text != ''").collect()} == kept
+
+
+def test_no_toxic_feature_is_forgotten():
+    """A word of late toxic documents is selected though the clean ones hold over 2^20 features, each seen twice."""
+    clean = " ".join(f"{chr(97 + i % 26)}{i * 7919 % 9999991:07d}" for i in range(1_100_000))
+    texts = [clean, clean, *["plain words"] * 30, *["some vileword here"] * 6]
+    assert "vileword" in toxicity._select(texts, np.array([0.0] * 32 + [1.0] * 6), 10)
