@@ -6,8 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievework.llm import lines, neighbours, simhash, toxicity, urls
-from sievework.llm.queries import RULES
+from sievework.llm import lines, neighbours, simhash, toxicity
 
 WORDS = "the of and to in is that it for was with as at be this are from or by report river stone paper light water house green market small large quick brown".split()
 
@@ -89,7 +88,10 @@ def test_line_dedup_many_groups_in_one_bucket(spark):
 
 
 def test_no_toxic_feature_is_forgotten():
-    """A word of late toxic documents is selected though the clean ones hold over 2^20 features, each seen twice."""
-    clean = " ".join(f"{chr(97 + i % 26)}{i * 7919 % 9999991:07d}" for i in range(1_100_000))
-    texts = [clean, clean, *["plain words"] * 30, *["some vileword here"] * 6]
-    assert "vileword" in toxicity._select(texts, np.array([0.0] * 32 + [1.0] * 6), 10)
+    """A word of late toxic documents is selected though the clean ones hold 2^20 features and bring more each time."""
+    bulk = lambda at, n: " ".join(f"aaaaa{i:07d}" for i in range(at, at + n))
+    texts, labels = [bulk(0, 1_040_000)] * 2, [0.0, 0.0]
+    for k in range(6):
+        texts += ["some vileword here", bulk(2_000_000 + 20_000 * k, 20_000)]
+        labels += [1.0, 0.0]
+    assert "vileword" in toxicity._select(texts, np.array(labels), 10)
