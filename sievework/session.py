@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,19 +27,42 @@ def session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sievework
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent, as in tests, a temporary folder is made and recorded in the session.
+    Where that is unset a local master, as in tests, gets a temporary folder for the life of the application; any
+    other master is an error, for its machines share no such folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="sievework-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="sievework-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        base = _LOCAL[app]
     return base.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the scratch folder; what is there when the application ends is deleted then."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+_MADE = threading.local()
+
+
+def _made() -> list[str]:
+    if not hasattr(_MADE, "paths"):
+        _MADE.paths = []
+    return _MADE.paths
 
 
 def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
@@ -45,34 +71,38 @@ def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame
     keep: release() leaves the table alone.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     if not keep:
-        _WRITTEN.append(path)
+        _made().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """A point in time for release()."""
-    return len(_WRITTEN)
+    """A point in time for made_since()."""
+    return len(_made())
+
+
+def made_since(began: int) -> list[str]:
+    """The scratch tables that this thread has written since a mark and not released."""
+    return _made()[began:]
 
 
-def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
-    """Delete the scratch tables written since a mark, but for those that a DataFrame still reads.
+def release(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> None:
+    """Delete scratch tables, but for those that a DataFrame still reads.
 
-    Whoever calls it knows that nothing else will read them: an operator that has written its result's inputs, or
-    a stage whose predecessor's result is stored.
+    Whoever calls it knows that nothing else will read them, and names what it wrote itself: an operator that has
+    written its result's inputs, or a stage whose predecessor's result is stored.
     """
-    held = {f.rsplit("/", 1)[0] for f in but.inputFiles()} if but is not None else set()
-    named = {h.rsplit("/", 1)[-1] for h in held}
-    keep = []
-    for path in _WRITTEN[since:]:
-        if path.rsplit("/", 1)[-1] in named:
-            keep.append(path)
-        else:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _WRITTEN[since:] = keep
+    held = {f.rsplit("/", 2)[-2] for f in but.inputFiles()} if but is not None else set()
+    made = _made()
+    for path in paths:
+        if path.rsplit("/", 1)[-1] in held:
+            continue
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in made:
+            made.remove(path)
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:

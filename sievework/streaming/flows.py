@@ -6,7 +6,6 @@ the result as a table, so that a scheduled job and a test use the same code.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievework.operators.merge import upsert
-from sievework.session import scratch_dir
+from sievework.session import scratch_path
 
 
 def read_files(spark: SparkSession, path: str, files_each: int | None = None) -> DataFrame:
@@ -74,7 +73,7 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     append and complete results are written as Parquet, update results batch by batch with the batch number.
     """
     spark = stream.sparkSession
-    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").start(f"{base}/out")
@@ -95,6 +94,13 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     return out
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole versions v=N of a table: those whose write has ended."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or [])
+
+
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], overwrite: list[str], keep: list[str], order: str) -> None:
     """Merge every batch into a Parquet table by key: versions are folders, and the newest whole one counts.
 
@@ -106,7 +112,8 @@ def upsert_stream(stream: DataFrame, path: str, keys: list[str], overwrite: list
 
     def put(batch: DataFrame, number: int) -> None:
         new = collapse_batch(batch, keys, order, overwrite, keep)
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else new.limit(0)
+        before = max((n for n in versions(spark, path) if n < number), default=None)
+        old = new.limit(0) if before is None else spark.read.parquet(f"{path}/v={before}")
         upsert(old, new, keys, overwrite, keep).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     query = stream.writeStream.option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).foreachBatch(put).start()
