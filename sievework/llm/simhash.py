@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.components import connected_components
-from sievework.session import fresh, mark, release, text_batches, written
+from sievework.session import fresh, made_since, mark, release, text_batches, written
 
 SHINGLE, RADIUS, TILE, SEED = 4, 4, 8192, 42
 #: So many ids and text hashes (16 bytes) may be broadcast; more are joined by shuffle.
@@ -178,7 +178,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius
     ids = named.count()
     wanted = F.broadcast(named) if ids <= BROADCAST_IDS else named
     copies = fps.join(wanted, F.col("id").eqNullSafe(F.col(key)) & (F.col("th") == F.col(th)), "left_semi").count()
-    release(docs.sparkSession, began, but=named)
+    release(docs.sparkSession, made_since(began), but=named)
     boxed = docs.withColumn(hashed, F.xxhash64(text))
     out = boxed.join(wanted, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(hashed) == F.col(th)), "left_semi")
     return (out if copies == ids else out.dropDuplicates([id_col, hashed])).drop(hashed)

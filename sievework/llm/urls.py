@@ -3,30 +3,36 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.sample import frequent
 from sievework.session import written
 
-#: Words that mark a host as unwanted, the weak labels that naive Bayes learns from.
+#: Words that mark a host as unwanted; hosts that hold one are the weak examples that naive Bayes learns from.
 SEEDS = frozenset("casino poker betting bets gamble gambling slots jackpot adult porn sex xxx nude escort spam malware phishing warez torrent crack keygen pills viagra cialis pharmacy ads adserver popup clickbait payday loans replica".split())
 #: Words that concatenated host names are often made of, beside those that the corpus shows.
 COMMON = frozenset("free cheap win farm track best online shop store news blog home world web site net info my the buy top live play game games money cash credit deal deals hot link links mail new now one pro real smart super tech video vip zone example www".split())
-VOCABULARY, LONGEST = 50_000, 24
-_LETTERS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
+LONGEST = 24
+#: A seed word's own evidence, in examples: what it weighs where no other seed in the host has taught it.
+SEED_WEIGHT = 100.0
+#: A table of at most so many rows of a few words (some tens of MB) may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+_RUNS = r"[a-z]+|#|[^\x00-\x7f]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def host(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty if null or without ://."""
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
-    return F.translate(F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*", 0), _UPPER, _LOWER)
 
 
 def path(url: Column) -> Column:
@@ -34,6 +40,11 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def shape(text: Column) -> Column:
+    """What naive Bayes sees of a host or path: A-Z lower-cased, every run of digits one #."""
+    return F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[0-9]+", "#")
+
+
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule (verdict, "host/path") that fits the host or a parent, and the path's start."""
     which, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -44,105 +55,124 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return which, verdict
 
 
-class Segmenter:
-    """Splits concatenated names by the most likely sequence of words under a unigram model."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
-        self.cost = {w: -math.log(n / self.total) for w, n in counts.items() if n > 0}
-        self.longest = min(LONGEST, max(map(len, self.cost), default=1))
-        self.memo: dict[str, tuple[str, ...]] = {}
-
-    def word(self, w: str) -> tuple[str, ...]:
-        """Viterbi over one run of letters; an unknown word of n letters costs as one seen 10^-n times."""
-        if w in self.memo:
-            return self.memo[w]
-        best, back = [0.0], [0]
-        for j in range(1, len(w) + 1):
-            options = [(best[i] + self.cost.get(w[i:j], math.log(self.total) + 2.302585 * (j - i)), i) for i in range(max(0, j - self.longest), j)]
-            cost, i = min(options)
-            best.append(cost)
-            back.append(i)
-        out, j = [], len(w)
-        while j:
-            out.append(w[back[j] : j])
-            j = back[j]
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        self.memo[w] = got = tuple(reversed(out))
-        return got
-
-    def host(self, name: str) -> list[str]:
-        return [f"h:{x}" for run in _LETTERS.findall(name) for x in (("#",) if run[0].isdigit() else self.word(run))]
-
-    def tokens(self, name: str, way: str) -> list[str]:
-        """The words of a host and of a path; runs of digits are one token."""
-        return self.host(name) + [f"p:{x}" for run in _LETTERS.findall(way.lower()) for x in (("#",) if run[0].isdigit() else self.word(run))]
-
-
-def words(pages: DataFrame, html: str = "html", most: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the letter words in the titles of all pages: those of at most so many most frequent words."""
-    title = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1))
-    counted = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z]{2,24}"), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    found = dict(frequent(written(counted, "words"), most))
-    floor = max(1, sum(found.values()) // 5000)
-    return found | {w: max(floor, found.get(w, 0)) for w in sorted(SEEDS | COMMON)}
-
-
-class Bayes:
-    """Multinomial naive Bayes over url tokens, with add-one smoothing; log_odds over 0 means block."""
-
-    def __init__(self, block: dict[str, int], allow: dict[str, int], n_block: int, n_allow: int):
-        v = len(block.keys() | allow.keys()) + 1
-        b, a = sum(block.values()) + v, sum(allow.values()) + v
-        self.prior, self.unknown = math.log((n_block + 1) / (n_allow + 1)), math.log(a / b)
-        self.weight = {t: math.log((block.get(t, 0) + 1) / b) - math.log((allow.get(t, 0) + 1) / a) for t in block.keys() | allow.keys()}
-
-    def log_odds(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.weight.get(t, self.unknown) for t in tokens) if tokens else self.prior
-
-
-def train(urls: DataFrame, segmenter: Segmenter, most: int = VOCABULARY) -> Bayes:
-    """Naive Bayes from all urls (columns host, path): those whose host holds a seed word are examples of block."""
-    shared = urls.sparkSession.sparkContext.broadcast(segmenter)
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seg = shared.value
-        for part in parts:
-            seen: Counter = Counter()
-            for h, p in zip(part["host"], part["path"]):
-                tokens = seg.tokens(h, p)
-                bad = any(t[2:] in SEEDS for t in tokens if t[0] == "h")
-                seen.update((bad, t) for t in tokens)
-                seen[bad, ""] += 1
-            yield pd.DataFrame([(b, t, n) for (b, t), n in seen.items()], columns=["bad", "token", "n"])
-
-    counted = urls.mapInPandas(count, "bad boolean, token string, n long").groupBy("token").pivot("bad", [False, True]).agg(F.sum("n")).fillna(0)
-    rows = counted.orderBy(F.desc(F.col("`true`") * 1000 + F.col("`false`")), "token").limit(most).collect()  # bounded model
-    tables = {k: {r["token"]: r[k] for r in rows if r[k]} for k in ("true", "false")}
-    n_bad, n_good = (tables[k].pop("", 0) for k in ("true", "false"))
-    return Bayes(tables["true"], tables["false"], n_bad, n_good)
+def viterbi(run: str, cost: dict[str, float], total: float) -> list[str]:
+    """The most likely words of a run of letters; an unknown word of n letters costs as one seen 10^-n times. Ties go to the longer last word."""
+    longest = min(LONGEST, max(map(len, cost), default=1))
+    unseen, best, back = math.log(total), [0.0], [0]
+    for j in range(1, len(run) + 1):
+        at, least = 0, best[0] + cost.get(run[:j], unseen + math.log(10) * j)
+        for i in range(max(1, j - longest), j):
+            c = best[i] + cost.get(run[i:j], unseen + math.log(10) * (j - i))
+            if c < least:
+                at, least = i, c
+        best.append(least)
+        back.append(at)
+    out, j = [], len(run)
+    while j:
+        out.append(run[back[j] : j])
+        j = back[j]
+    return out[::-1]
+
+
+def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """word, c: the letter words between the tags of all whole pages.
+
+    Seed and common words count as one in 5,000 at least, so that a name made of them is split where the corpus
+    does not know them.
+    """
+    text = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "<[^<>]*+>", " ")
+    counted = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"[a-z]{{1,{LONGEST}}}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    counted = written(counted, "words")
+    floor = max(1, (counted.agg(F.sum("c")).first()[0] or 0) // 5000)
+    fixed = pages.sparkSession.createDataFrame([(w, floor) for w in sorted(SEEDS | COMMON)], "word string, c long")
+    return counted.unionByName(fixed).groupBy("word").agg(F.max("c").alias("c"))
+
+
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """run, words: every distinct run of letters split by Viterbi under the unigram model of all counts.
+
+    A run's parts of up to 24 letters are looked up in the whole count table by a join, so the dictionary has no
+    cut; what a run gathers is bounded by its own length.
+    """
+    counts = written(counts, "unigrams")
+    total = float(counts.agg(F.sum("c")).first()[0] or 1)
+    letters = runs.where("run rlike '^[a-z]+$'")
+    starts = f"transform(sequence(1, length(run)), i -> transform(sequence(1, least({LONGEST}, length(run) - i + 1)), n -> substring(run, i, n)))"
+    parts = letters.select("run", F.explode(F.array_distinct(F.expr(f"flatten({starts})"))).alias("word"))
+    held = parts.join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "c")).alias("known"))
+
+    @F.pandas_udf("array<string>")
+    def split(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for run, known in parts:
+            yield pd.Series([viterbi(r, {} if k is None else {x["word"]: -math.log(x["c"] / total) for x in k}, total) for r, k in zip(run, known)], dtype=object)
+
+    done = letters.join(held, "run", "left").select("run", split("run", "known").alias("words"))
+    return done.unionByName(runs.where("NOT run rlike '^[a-z]+$'").select("run", F.array("run").alias("words")))
+
+
+def tokens(shapes: DataFrame, counts: DataFrame) -> DataFrame:
+    """host, way, n, tokens: of every distinct host and path shape its words in order, h: of the host and p: of the path."""
+    cut = lambda c, kind: F.transform(F.regexp_extract_all(c, F.lit(_RUNS), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("run")))
+    each = shapes.select("host", "way", F.posexplode(F.concat(cut(shape(F.col("host")), "h"), cut(F.col("way"), "p"))).alias("pos", "r")).select("host", "way", "pos", "r.kind", "r.run")
+    words = written(segmented(each.select("run").distinct(), counts), "segments")
+    split = each.join(_small(words), "run").withColumn("words", F.transform("words", lambda w: F.concat(F.col("kind"), F.lit(":"), w)))
+    listed = split.groupBy("host", "way").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("tokens"))
+    return shapes.join(listed, ["host", "way"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
+def _seeds(kind: str = "h:") -> Column:
+    return F.array(*[F.lit(kind + s) for s in sorted(SEEDS)])
+
+
+def train(known: DataFrame) -> tuple[DataFrame, float]:
+    """(token, weight) and the prior log odds of multinomial naive Bayes over tokens(); over 0 means block.
+
+    Examples of block are the rows whose host holds a seed word; in the features of an example the seed words that
+    label it stand only for the other seeds: with one seed alone it is left out, with several each is taught by the
+    others. What a seed weighs beside that is a prior of SEED_WEIGHT examples, which other words can outvote. Counts
+    of the commoner class are scaled to the mass of the rarer one, so that words that neither has seen say nothing,
+    and smoothed by one.
+    """
+    d = known.withColumn("bad", F.arrays_overlap("tokens", _seeds())).withColumn("own", F.array_distinct(F.array_intersect("tokens", _seeds())))
+    sums = d.agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a")).first()
+    prior = math.log(((sums["b"] or 0) + 1) / ((sums["a"] or 0) + 1))
+    each = d.select("n", "bad", "own", F.explode("tokens").alias("token")).where(~(F.array_contains("own", F.col("token")) & (F.size("own") == 1)))
+    counted = written(each.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a")), "tokens")
+    mass = counted.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a")).first()
+    least = min(mass["a"], mass["b"])
+    scale = {k: least / mass[k] if mass[k] else 0.0 for k in ("a", "b")}
+    seeds = known.sparkSession.createDataFrame([("h:" + s, SEED_WEIGHT) for s in sorted(SEEDS)], "token string, seed double")
+    weight = F.log(F.coalesce("b", F.lit(0)) * scale["b"] + F.coalesce("seed", F.lit(0.0)) + 1) - F.log(F.coalesce("a", F.lit(0)) * scale["a"] + 1)
+    return counted.join(F.broadcast(seeds), "token", "full").select("token", weight.alias("weight")), prior
+
+
+def scored(known: DataFrame, weights: DataFrame, prior: float) -> DataFrame:
+    """host, way, log_odds, words (of the host): the prior plus the weights of all tokens; unseen ones say nothing."""
+    each = known.select("host", "way", F.explode("tokens").alias("token")).join(_small(weights), "token")
+    sums = each.groupBy("host", "way").agg(F.sum("weight").alias("more"))
+    of_host = F.array_join(F.transform(F.filter("tokens", lambda t: t.startswith("h:")), lambda t: F.substring(t, 3, LONGEST * 100)), " ")
+    return known.join(sums, ["host", "way"], "left").select("host", "way", (F.lit(prior) + F.coalesce("more", F.lit(0.0))).alias("log_odds"), of_host.alias("words"))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html") -> DataFrame:
     """Add host, path, rule, verdict, log_odds and words (the segmented host) to every row of pages.
 
     A fitting rule decides; else the sign of the naive Bayes log odds (0 allows). Null urls and those without ://
-    have an empty host and path. Segmenter and classifier are bounded tables; the counts behind them cover all rows.
-    """
-    segmenter = Segmenter(words(pages, html))
-    d = pages.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
-    bayes = train(d.select("host", "path"), segmenter)
-    shared = pages.sparkSession.sparkContext.broadcast((segmenter, bayes))
-
-    @F.pandas_udf("log_odds double, words string")
-    def udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        seg, nb = shared.value
-        for hosts, paths in parts:
-            got = [seg.tokens(h, p) for h, p in zip(hosts, paths)]
-            yield pd.DataFrame({"log_odds": [nb.log_odds(t) for t in got], "words": [" ".join(x[2:] for x in t if x[0] == "h") for t in got]})
+    have an empty host and path and the prior's odds; repeated rows are judged alike and come back repeated; an
+    empty table stays empty. Input columns named like a result are replaced by it, whatever their case.
 
+    All that is learned and scored is of distinct (host, path with digits as #), so a host that holds a third of the
+    pages is one row there; the pages meet it again through a broadcast of bounded size or a join that AQE splits.
+    """
+    boxed = pages.select(F.struct("*").alias("_row"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path")).withColumn("way", shape(F.col("path")))
+    counts = word_counts(pages.select(F.col(html).alias("html")), "html")
+    shapes = written(boxed.groupBy("host", "way").agg(F.count("*").alias("n")), "shapes")
+    known = written(tokens(shapes, counts), "known")
+    weights, prior = train(known)
+    table = written(scored(known, written(weights, "weights"), prior), "judged")
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
-    d = d.withColumn("_nb", udf("host", "path")).withColumn("rule", rule).withColumn("_said", said)
-    verdict = F.coalesce("_said", F.when(F.col("_nb.log_odds") > 0, "block").otherwise("allow"))
-    return d.withColumn("verdict", verdict).withColumn("log_odds", F.col("_nb.log_odds")).withColumn("words", F.col("_nb.words")).drop("_nb", "_said")
+    d = boxed.join(_small(table), ["host", "way"], "left").withColumn("rule", rule)
+    verdict = F.coalesce(said, F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    results = ("host", "path", "rule", "verdict", "log_odds", "words")
+    kept = [F.col("_row").getField(c).alias(c) for c in pages.columns if c.lower() not in results]
+    return d.withColumn("verdict", verdict).select(*kept, *results)
