@@ -56,15 +56,24 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
 
 
 def viterbi(run: str, cost: dict[str, float], total: float) -> list[str]:
-    """The most likely words of a run of letters; an unknown word of n letters costs as one seen 10^-n times. Ties go to the longer last word."""
+    """The most likely words of a run of letters; an unknown word of n letters costs as one seen 10^-n times.
+
+    Known words have at most LONGEST letters; of unknown ones, of any length, the cheapest that ends at a letter
+    either goes on from the one before or begins there, so time grows with the length of the run.
+    """
     longest = min(LONGEST, max(map(len, cost), default=1))
-    unseen, best, back = math.log(total), [0.0], [0]
+    unseen, letter = math.log(total), math.log(10)
+    best, back = [0.0], [0]
+    odd, since = math.inf, 0  # the cheapest unknown word up to here, and its start
     for j in range(1, len(run) + 1):
-        at, least = 0, best[0] + cost.get(run[:j], unseen + math.log(10) * j)
-        for i in range(max(1, j - longest), j):
-            c = best[i] + cost.get(run[i:j], unseen + math.log(10) * (j - i))
-            if c < least:
-                at, least = i, c
+        if best[j - 1] + unseen <= odd:
+            odd, since = best[j - 1] + unseen, j - 1
+        odd += letter
+        least, at = odd, since
+        for i in range(max(0, j - longest), j):
+            c = cost.get(run[i:j])
+            if c is not None and best[i] + c < least:
+                least, at = best[i] + c, i
         best.append(least)
         back.append(at)
     out, j = [], len(run)
