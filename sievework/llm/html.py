@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,10 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.sample import bounded
-
-SAMPLE_PAGES = 400
-ADJACENT, SIBLING = 0.8, 0.6
-_MARKUP = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+from sievework.session import text_batches
+
+#: Pages that the classifier learns from, and the most bytes of one; how far labels are smoothed over neighbours in
+#: page order, in one element or not, and over siblings; the most that a tag or class may say; elements deeper than
+#: this add no level.
+SAMPLE_PAGES, SAMPLE_BYTES = 400, 1 << 18
+ADJACENT, APART, SIBLING = 1.2, 0.1, 0.9
+MOST_BOILER, MOST_CONTENT, DEEPEST = 6.0, 2.0, 512
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements whose content is never text, and elements that do not break a line of text.
@@ -32,17 +39,17 @@ CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article articlebody content post entry story main maincontent text body".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-FEATURES = ("bias", "length", "links", "paragraph", "heading", "item", "stops", "semantic")
-#: The weights before any page is seen; training moves all but the last, which is evidence and no guess.
-PRIOR = np.array([-1.0, 2.8, -4.0, 1.5, 0.5, -0.5, 0.6, 1.0])
+FEATURES = ("bias", "length", "links", "paragraph", "heading", "item", "stops", "boiler", "content")
+TEXTUAL = 7  # so many of them are of the text, the others of the elements around it
+#: The weights before any page is seen.
+PRIOR = np.array([-1.0, 2.8, -4.0, 1.5, 0.5, -0.5, 0.6, -MOST_BOILER / 2, MOST_CONTENT / 2])
 
 
 @dataclass
 class Block:
-    """A run of text between block-level tags."""
+    """A run of text between block-level tags: the number of its element, and of the one around that."""
 
-    parent: int
-    depth: int
+    up: int
     tag: str
     semantic: float
     parts: list[str] = field(default_factory=list)
@@ -76,17 +83,78 @@ def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
     return said, gone
 
 
+class Scanner:
+    """The markup of a page from left to right, in time that grows with its length however malformed it is.
+
+    A quote counts only after an equals sign; once one has no end, quotes are read over from there on. What a search
+    did not find it does not look for again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes, self.never = page, page.rfind(">"), True, set()
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at `at`."""
+        page, where = self.page, at
+        while self.quotes:
+            m = _STOP.search(page, where)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            where = m.end()
+            if page[at : m.start()].rstrip()[-1:] == "=" if m.start() - at < 64 else page[m.start() - 1] == "=":
+                close = page.find(m[0], where)
+                if close < 0:
+                    break
+                where = close + 1
+        self.quotes = False
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """Where the next markup starts and ends, its tag (empty: none), is it an end tag, its attributes."""
+        page = self.page
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return len(page), len(page), "", False, ""
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, "", False, ""
+            if at > self.last:
+                return len(page), len(page), "", False, ""
+            end_tag = page.startswith("/", at + 1)
+            name = _NAME.match(page, at + 1 + end_tag)
+            if name:
+                stop = self.tag_end(name.end())
+                return at, stop + 1, name[0].lower(), end_tag, page[name.end() : stop]
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                return at, page.find(">", at) + 1, "", False, ""
+            at += 1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of a raw element, -1 if there is none."""
+        if tag not in self.never:
+            m = re.compile(rf"</{tag}\b[^<>]*>", re.I).search(self.page, at)
+            if m:
+                return m.end()
+            self.never.add(tag)
+        return -1
+
+
 def blocks(page: str | None) -> list[Block]:
     """The shown blocks of text of a page in order, from a forgiving pass over its tags.
 
     Comments and raw elements are left out; unclosed paragraphs, items and cells end where HTML ends them; an end
-    tag without its start is passed over; a page cut short ends all that is open.
+    tag without its start is passed over; a page cut short ends all that is open; what is nested deeper than DEEPEST
+    elements belongs to the deepest.
     """
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, number, evidence, not shown
+    open_: Counter = Counter()
     number, links, at, current = 0, 0, 0, None
-    inside = 0
+    inside, scanner = 0, Scanner(page)
 
     def say(text: str) -> None:
         nonlocal current
@@ -95,8 +163,8 @@ def blocks(page: str | None) -> list[Block]:
         if current is None:
             if text.isspace():
                 return
-            up = next((x for x in reversed(stack) if x[0] not in INLINE), stack[0])
-            current = Block(up[1], len(stack), up[0], stack[-1][2])
+            block = [x for x in stack if x[0] not in INLINE][-2:]
+            current = Block(block[0][1], block[-1][0], stack[-1][2])
             out.append(current)
         current.parts.append(text)
         n = len(text)
@@ -107,48 +175,46 @@ def blocks(page: str | None) -> list[Block]:
     def close(upto: int) -> None:
         nonlocal links, inside
         for t, *_ in stack[upto:]:
+            open_[t] -= 1
             links -= t == "a"
             inside -= t in CONTENT_TAGS
         del stack[upto:]
 
     while True:
-        m = _MARKUP.search(page, at)
-        if not m:
-            say(page[at:])
+        start, after, tag, end, attributes = scanner.next(at)
+        if start > at:
+            say(page[at:start])
+        at = after
+        if start >= len(page):
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
-        end = (m[2] or m[5]) == "/"
         if tag in RAW and not end:
             current = current if tag in INLINE else None
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if stop:
-                at = stop.end()
+            stop = scanner.raw_end(tag, at)
+            if stop >= 0:
+                at = stop
             elif tag in ("script", "style", "textarea", "title", "template", "svg", "noscript", "select"):
                 at = len(page)
             continue
         if tag not in INLINE:
             current = None
         if end:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[k][0] == tag:
                     close(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and open_["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     close(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
-        if tag in _CLOSES:
+        if tag in _CLOSES and any(open_[t] > 0 for t in _CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in _CLOSES[tag]:
                     close(k)
@@ -157,13 +223,15 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if tag in VOID:
             continue
-        attributes = m[4] or m[7] or ""
         if attributes.endswith("/") and tag not in INLINE and tag not in _ENDS_P:
             continue
+        if len(stack) > DEEPEST:
+            continue
         said, gone = _evidence(tag, attributes, inside > 0)
         number += 1
         links += tag == "a"
         inside += tag in CONTENT_TAGS
+        open_[tag] += 1
         stack.append((tag, number, max(-20.0, min(6.0, stack[-1][2] + said)), stack[-1][3] or gone))
     for b in out:
         b.text = " ".join(entities.unescape("".join(b.parts)).split())
@@ -171,20 +239,30 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
+    """One row for each block: FEATURES, each between 0 and 1."""
     return np.array(
-        [(1.0, min(1.0, len(b.text) / 120), b.linked / max(1, b.size), b.tag in ("p", "blockquote", "pre"), b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("li", "td", "th", "dd", "dt"), min(1.0, sum(map(b.text.count, ".!?")) / 3), b.semantic) for b in found],
+        [
+            (1.0, min(1.0, len(b.text) / 120), b.linked / max(1, b.size), b.tag in ("p", "blockquote", "pre", "body", ""), b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("li", "td", "th", "dd", "dt"), min(1.0, sum(map(b.text.count, ".!?")) / 3), min(1.0, max(0.0, -b.semantic) / 4), min(1.0, max(0.0, b.semantic) / 4))
+            for b in found
+        ],
         float,
     ).reshape(-1, len(FEATURES))
 
 
 def fit(pages: list[str | None], strength: float = 4.0) -> np.ndarray:
-    """Fit the weights to blocks whose elements say what they are, by Newton steps around the prior."""
-    got = [f for p in pages for f in features(blocks(p)) if f[-1] <= -8 or f[-1] >= 4]
-    w = PRIOR.copy()
-    if not got:
+    """Fit the weights in two steps.
+
+    Of the text: logistic regression by Newton steps around the prior, on blocks whose elements say what they are.
+    Of the elements: how far boilerplate and content marks go along with what the text weights say, as a log ratio
+    of counts, between half of MOST_BOILER or MOST_CONTENT and the whole; so marks weigh as much as an unlikely
+    text does, no more, and a block without marks is decided by its text and its neighbours.
+    """
+    got = np.concatenate([np.zeros((0, len(FEATURES))), *[features(blocks(p)) for p in pages]])
+    w, k = PRIOR.copy(), TEXTUAL
+    told = (got[:, k] >= 1) | (got[:, k + 1] >= 1)
+    if not told.any():
         return w
-    x, k = np.array(got), len(FEATURES) - 1
-    y, x = (x[:, -1] > 0).astype(float), x[:, :k]
+    x, y = got[told, :k], (got[told, k + 1] >= 1).astype(float)
     scale = min(1.0, 200 / len(x))  # the prior weighs as much on any sample
     for _ in range(25):
         p = 1 / (1 + np.exp(-x @ w[:k]))
@@ -194,6 +272,11 @@ def fit(pages: list[str | None], strength: float = 4.0) -> np.ndarray:
         w[:k] += step
         if np.abs(step).max() < 1e-8:
             break
+    agrees = (x @ w[:k] > 0) == (y > 0)
+    for at, label, most in ((k, 0, MOST_BOILER), (k + 1, 1, MOST_CONTENT)):
+        ok, bad = int(agrees[y == label].sum()), int((~agrees[y == label]).sum())
+        size = min(most, max(most / 2, math.log((ok + 1) / (bad + 1)) + most / 2))
+        w[at] = size if label else -size
     return w
 
 
@@ -269,33 +352,44 @@ def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     return [bool(x) for x in label]
 
 
+def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
+    """What unlike labels cost between blocks that follow each other, most of all in one element, and between siblings.
+
+    Where the elements around two blocks speak differently, a change of label costs less.
+    """
+    out, last = [], {}
+    alike = lambda i, j: math.exp(-abs(max(-4.0, min(4.0, found[i].semantic)) - max(-4.0, min(4.0, found[j].semantic))) / 2)
+    for i, b in enumerate(found):
+        if i:
+            out.append((i - 1, i, (ADJACENT if b.up == found[i - 1].up else APART) * alike(i - 1, i)))
+        if b.up in last:
+            out.append((last[b.up], i, SIBLING * alike(last[b.up], i)))
+        last[b.up] = i
+    return out
+
+
 def extract(page: str | None, weights: np.ndarray) -> list[tuple[str, bool, float]]:
     """The blocks of a page: (text, is it content, classifier logit)."""
     found = blocks(page)
     if not found:
         return []
     z = features(found) @ weights
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, ADJACENT / (1 + abs(b.depth - found[i - 1].depth))))
-        if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return [(b.text, keep, float(x)) for b, keep, x in zip(found, min_cut(z.tolist(), edges), z)]
+    return [(b.text, keep, float(x)) for b, keep, x in zip(found, min_cut(z.tolist(), edges_of(found)), z)]
 
 
 def train(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE_PAGES) -> np.ndarray:
-    """Fit the block classifier on at most so many pages, in hash order of the key."""
-    return fit([r["h"] for r in bounded(pages.select(F.col(key).alias("k"), F.col(html).alias("h")), "k", sample)])
+    """Fit the block classifier on at most so many pages of at most SAMPLE_BYTES, in hash order of the key."""
+    return fit([r["h"] for r in bounded(pages.select(F.col(key).alias("k"), F.col(html).alias("h")).where(F.octet_length("h") <= SAMPLE_BYTES), "k", sample)])
 
 
 def main_text(pages: DataFrame, weights: np.ndarray, html: str = "html", to: str = "text") -> DataFrame:
     """Add the main text of every whole page: its content blocks in order, joined by a space.
 
     Character references are decoded and white space inside a block is one space. Null, empty and textless pages
-    give an empty string.
+    give an empty string; repeated rows give the same text each; an empty table stays empty; an input column named
+    like the result is replaced by it.
     """
+    text_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
