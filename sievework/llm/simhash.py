@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from sievework.llm.components import connected_components
 from sievework.session import fresh, made_since, mark, release, text_batches, written
 
-SHINGLE, RADIUS, TILE, SEED = 4, 4, 8192, 42
+SHINGLE, RADIUS, TILE, SEED = 4, 4, 65_536, 42
+#: Comparisons a task: a second or so.
+TASK = 1 << 27
 #: So many ids and text hashes (16 bytes) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -41,7 +43,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFra
 
     ASCII letters are lower-cased; words are runs of anything but space and \\x09-\\x0D; every run of four words,
     repeats included, is hashed by XXH64 with seed 42 (fewer words: the whole sequence). A bit is 1 if it is set
-    in over half the hashes. Null and blank texts get 0.
+    in over half the hashes. Null and blank texts get 0. A column that is named like the result is replaced.
     """
 
     text_batches(docs.sparkSession)
@@ -72,23 +74,25 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def near_in_tiles(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two tiles of fingerprints: pairs of values.
 
-    Exclusive-or and bit counts over blocks of rows; rows are in order of the population count of their upper
-    16 bits, and a block skips the columns whose count differs beyond the radius.
+    Exclusive-or and bit counts over blocks of 64 rows and 8192 columns, which stay in the processor's cache; rows
+    are in order of the population count of their upper 16 bits, and a block skips the columns whose count differs
+    beyond the radius.
     """
     top = lambda x: np.bitwise_count(x >> np.uint64(48)).astype(np.int16)
     a, b = a[np.argsort(top(a), kind="stable")], b[np.argsort(top(b), kind="stable")]
     pa, pb, n = top(a), top(b), len(a)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for at in range(0, n, 64):
         rows, p = a[at : at + 64], pa[at : at + 64]
-        lo, hi = np.searchsorted(pb, p[0] - radius, "left"), np.searchsorted(pb, p[-1] + radius, "right")
-        if lo < hi:
-            i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ b[None, lo:hi]) <= radius)
+        lo, hi = int(np.searchsorted(pb, p[0] - radius, "left")), int(np.searchsorted(pb, p[-1] + radius, "right"))
+        for start in range(lo, hi, 8192):
+            i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ b[None, start : min(hi, start + 8192)]) <= radius)
             left.append(i + at)
-            right.append(j + lo + n)
-            if sum(map(len, left)) > 1 << 20:  # many links: keep only a forest of them
+            right.append(j + start + n)
+            held += len(i)
+            if held > 1 << 20:  # many links: keep only a forest of them
                 i, j = _forest(n + len(b), np.concatenate(left), np.concatenate(right))
-                left, right = [i], [j]
+                left, right, held = [i], [j], len(i)
     i, j = _forest(n + len(b), np.concatenate(left), np.concatenate(right))
     both = np.concatenate((a, b))
     keep = both[i] != both[j]
@@ -104,40 +108,41 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
     Fingerprints are sorted into classes by the population counts of their two halves; a class over the tile
     size is split by hash into tiles of bounded size. A pair of tiles is skipped if its counts already differ
-    beyond the radius; every other pair is compared whole. A tile pair returns a spanning forest of its links,
-    so a group of many near copies never emits all its pairs.
+    beyond the radius; every other pair is compared whole, in tasks whose number grows with the comparisons. A tile
+    travels once for each pair it is in, and a pair returns a spanning forest of its links, so a group of many near
+    copies never emits all its pairs.
     """
     spark = distinct.sparkSession
     hi, lo = _halves(F.col("fp"))
     classed = distinct.select("fp", hi.alias("hi"), lo.alias("lo"))
     sizes = {(r.hi, r.lo): r.n for r in classed.groupBy("hi", "lo").agg(F.count("*").alias("n")).collect()}  # 33 x 33 at most
     split = {k: -(-n // tile) for k, n in sizes.items()}
-    rows = []
+    rows, work = [], 0
     for (h, m), parts in split.items():
         near = [(h + x, m + y) for x in range(-radius, radius + 1) for y in range(abs(x) - radius, radius - abs(x) + 1)]
-        rows.append((h, m, parts, [(a, b, split[a, b]) for a, b in near if (a, b) in split and (a, b) >= (h, m)]))
+        near = [k for k in near if k in split]
+        rows.append((h, m, parts, [(a, b, split[a, b]) for a, b in near]))
+        work += sum(sizes[h, m] * sizes[k] for k in near) // 2
     meta = spark.createDataFrame(rows, "hi int, lo int, parts int, near array<struct<hi:int,lo:int,parts:int>>")
     sub = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
-    key = lambda h, m, s: F.format_string("%d.%d.%d", h, m, s)
+    key = lambda h, m, s: F.format_string("%02d.%02d.%010d", h, m, s)
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tile": [part["tile"].iloc[0]], "hi": [part["hi"].iloc[0]], "lo": [part["lo"].iloc[0]], "sub": [part["sub"].iloc[0]], "fps": [part["fp"].to_numpy(np.int64).tobytes()]})
-
-    tiles = classed.join(F.broadcast(meta.drop("near")), ["hi", "lo"]).withColumn("sub", sub).withColumn("tile", key(F.col("hi"), F.col("lo"), F.col("sub")))
-    tiles = written(tiles.groupBy("tile").applyInPandas(pack, "tile string, hi int, lo int, sub int, fps binary"), "tiles")
-    near = tiles.join(F.broadcast(meta.drop("parts")), ["hi", "lo"]).withColumn("to", F.explode("near"))
-    near = near.withColumn("to_sub", F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1))).withColumn("same", (F.col("to.hi") == F.col("hi")) & (F.col("to.lo") == F.col("lo"))).where(~F.col("same") | (F.col("to_sub") >= F.col("sub")))
-    pairs = near.select(F.col("fps").alias("a"), key(F.col("to.hi"), F.col("to.lo"), F.col("to_sub")).alias("tile")).join(tiles.select("tile", F.col("fps").alias("b")), "tile").select("a", "b")
-    pairs = pairs.repartition(max(16, min(4096, len(split))))  # even work: the pairs of a popular tile are dealt out
-
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for a, b in zip(part["a"], part["b"]):
-                u, v = near_in_tiles(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), radius)
-                if len(u):
-                    yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    return pairs.mapInPandas(compare, "u long, v long")
+        return pd.DataFrame({"tile": [part["tile"].iloc[0]], "hi": [part["hi"].iloc[0]], "lo": [part["lo"].iloc[0]], "fps": [part["fp"].to_numpy(np.int64).tobytes()]})
+
+    tiles = classed.join(F.broadcast(meta.drop("near")), ["hi", "lo"]).withColumn("tile", key(F.col("hi"), F.col("lo"), sub)).select("tile", "hi", "lo", "fp")
+    tiles = written(tiles.groupBy("tile").applyInPandas(pack, "tile string, hi int, lo int, fps binary"), "tiles")
+    each = tiles.join(F.broadcast(meta.drop("parts")), ["hi", "lo"]).select("tile", "fps", F.explode("near").alias("to"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1))).withColumn("other", key(F.col("to.hi"), F.col("to.lo"), F.col("other")))
+    each = each.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fps")
+    tasks = max(16, min(100_000, work // TASK))
+
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        sides = [np.frombuffer(x, np.uint64) for x in pair["fps"]]
+        u, v = near_in_tiles(sides[0], sides[-1], radius)  # a tile beside itself comes once
+        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return each.repartition(tasks, "a", "b").groupBy("a", "b").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
