@@ -259,6 +259,51 @@ def test_language_model(spark):
     assert language_model.scored(d.limit(0), held).count() == 0
 
 
+def test_probabilities_sum_to_one():
+    """After any prefix the probabilities of all known words, and of one unseen word in each cluster, sum to 1."""
+    r = random.Random(8)
+    texts = [[w.encode() for w in (text(30, 950 + i) + " " + " ".join("abc"[r.randrange(3)] * r.randrange(3, 9) for _ in range(20))).split()] for i in range(30)]
+    from collections import Counter
+
+    c = Counter(w for t in texts for w in t)
+    known = [("", len(texts)), *[(w.decode(), n) for w, n in c.most_common()]]
+    lex = language_model.lexicon(texts, known, heads=40, clusters=4)
+    k = len(lex.prior)
+    mass = np.full(k, 0.1)
+    for w, n in known[40:]:
+        mass[lex.cluster(w.encode())] += n + 0.1
+    net = language_model.Network(lex.heads + k, lex.n_class + k, lex.n_class)
+    m = language_model.Model(lex, net, np.log10(np.array([n for _, n in known]) + 0.1), np.log10(mass))
+    language_model.train(texts, lex, known, m, epochs=2)
+    codes = [np.arange(len(known)), np.array([-1 - t for t in range(k)])]
+    for prefix in (texts[0][:5], texts[1][:20], []):
+        start = lex.code(prefix).astype(np.int64)
+        before = m.scores([start])[0] if len(start) else 0.0
+        after = m.scores([np.append(start, x) for x in np.concatenate(codes)]) - before
+        after[len(known) :] += np.log10(0.1)
+        assert abs((10.0**after).sum() - 1) < 1e-4
+
+
+def test_network_goes_on_over_a_growing_share(spark):
+    """The share that the network learns from grows with the table, and makes held-out texts likelier."""
+    r = random.Random(9)
+    order = {w: r.sample(WORDS, 3) for w in WORDS}
+
+    def chain(n):
+        w, out = r.choice(WORDS), []
+        for _ in range(n):
+            w = r.choice(order[w])
+            out.append(w)
+        return " ".join(out)
+
+    d = spark.createDataFrame([(i, chain(60)) for i in range(1500)], "doc_id long, text string")
+    held = F.col("doc_id") % 10 == 0
+    mean = lambda o: o.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    few, base = mean(language_model.scored(d, held, sample=40, share=0.001))
+    more, _ = mean(language_model.scored(d, held, sample=40, share=1.0))
+    assert base < few < more
+
+
 def test_network_gradient():
     net = language_model.Network(7, 5, 2, width=4)
     r = np.random.default_rng(0)
