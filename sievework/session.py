@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +74,7 @@ def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not keep:
         _made().append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -105,6 +107,17 @@ def release(spark: SparkSession, paths: list[str], but: DataFrame | None = None)
             made.remove(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver forget plans that nothing refers to, and with them their shuffle files on the executors' disks.
+
+    Spark deletes these when the driver's garbage collector finds a plan unused, which on a large heap may be hours later.
+    """
+    for _ in range(2):  # the first round finds the plans, the second what they held
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
+        time.sleep(0.3)
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Names like the given ones that no column of df has, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
