@@ -1,30 +1,16 @@
-"""Queries for classifiers, filters and scores: the rule compiler over word lists that the documents hold."""
+"""Queries for classifiers, filters and scores over posting-shaped rows, with SQL for the operators' own rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievework.functions.text import count_of
-from sievework.operators import enrich, filters, gate, score, sections
+from sievework.operators import enrich, filters, gate, models, score, sections
+from sievework.operators import risk as risks
 from sievework.operators.risk import compensation
-from sievework.operators.rules import Rule, all_matches, clamp, first_match, points
+from sievework.plans import listings
 from sievework.plans.catalogue import query
-from sievework.plans.tables import TITLE, WORDS, sql_hits, table, title, words
-
-#: Word lists that occur in the documents, standing for the classes of the posting rules.
-SENIOR, JUNIOR, INTERN = ("whose", "there", "ere"), ("this", "reed"), ("was", "wher")
-OPEN, BLOCKED, HYBRID = ("from", "that"), ("with", "die"), ("for", "que")
-UNPAID = ("worthless", "idiot", "moron", "loser", "trash", "scum")
-TAGS = {"article": ("the",), "link": ("and", "und"), "of": ("of", "de"), "place": ("in", "en"), "verb": ("is", "ist", "est"), "with": ("with", "mit", "avec", "con")}
-WEIGHTS = {"with": 10, "was": 9, "for": 8, "this": 7, "from": 6}
-
-
-def has(w, listed):
-    return count_of(w, listed) > 0
-
-
-def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").withColumn("w", words(F.col("text")))
+from sievework.plans.listings import ENRICHED, JUDGED, READ, SCORED, sql_any, sql_has
+from sievework.plans.tables import TITLE, sql_hits, table, title, words
 
 
 _SCORES = {lang: sql_hits(sorted(set(listed)), "w") for lang, listed in enrich.STOP_WORDS.items()}
@@ -40,62 +26,48 @@ def lang_detect(spark, sf_dir):
     return d.select("doc_id", enrich.decide_language(enrich.language_scores(F.col("w"))).alias("language"))
 
 
-@query(
-    "seniority_cascade",
-    f"SELECT doc_id, CASE WHEN {sql_hits(INTERN, 't')} > 0 THEN 'intern' WHEN {sql_hits(JUNIOR, 't')} > 0 THEN 'junior' WHEN {sql_hits(SENIOR, 't')} > 0 THEN 'senior' WHEN {sql_hits(JUNIOR, 'w')} > 2 THEN 'junior' WHEN {sql_hits(SENIOR, 'w')} > 0 THEN 'mid' ELSE 'unspecified' END AS level FROM (SELECT doc_id, {WORDS} AS w, regexp_extract_all(lower({TITLE}), '[a-zà-ÿ]+') AS t FROM documents)",
-)
-def seniority_cascade(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("t", words(title()))
-    rules = [Rule("intern", has(F.col("t"), INTERN)), Rule("junior", has(F.col("t"), JUNIOR)), Rule("senior", has(F.col("t"), SENIOR)), Rule("junior", count_of(F.col("w"), JUNIOR) > 2), Rule("mid", has(F.col("w"), SENIOR))]
-    return d.select("doc_id", first_match(rules, "unspecified").alias("level"))
-
+def _one(name: str, column: str) -> None:
+    """A query of one classification of every posting."""
 
-@query(
-    "reach_cascade",
-    f"SELECT doc_id, CASE WHEN {sql_hits(UNPAID, 'w')} > 1 THEN 'blocked:text' WHEN {sql_hits(OPEN, 'w')} > 3 THEN 'accessible:stated' WHEN doc_id % 3 = 0 THEN 'blocked:onsite' WHEN {sql_hits(HYBRID, 'w')} > 2 THEN 'blocked:hybrid' WHEN {sql_hits(BLOCKED, 'w')} > 0 THEN 'blocked:place' ELSE 'unknown:nothing' END AS reach FROM (SELECT doc_id, {WORDS} AS w FROM documents)",
-)
-def reach_cascade(spark, sf_dir):
-    w = F.col("w")
-    rules = [Rule("blocked:text", count_of(w, UNPAID) > 1), Rule("accessible:stated", count_of(w, OPEN) > 3), Rule("blocked:onsite", F.col("doc_id") % 3 == 0), Rule("blocked:hybrid", count_of(w, HYBRID) > 2), Rule("blocked:place", has(w, BLOCKED))]
-    return docs(spark, sf_dir).select("doc_id", first_match(rules, "unknown:nothing").alias("reach"))
+    @query(name, f"SELECT doc_id, {column} FROM {ENRICHED}")
+    def run(spark, sf_dir):
+        return listings.enriched(spark, sf_dir).select("doc_id", column)
 
 
-@query(
-    "access3_cascade",
-    f"SELECT access, count(*) AS n FROM (SELECT CASE WHEN {sql_hits(OPEN, 'w')} > 0 THEN 'ACCESSIBLE' WHEN doc_id % 3 = 0 THEN 'BLOCKED' WHEN {sql_hits(BLOCKED, 'w')} > 0 THEN 'BLOCKED' ELSE 'UNKNOWN' END AS access FROM (SELECT doc_id, {WORDS} AS w FROM documents)) GROUP BY access",
-)
-def access3_cascade(spark, sf_dir):
-    w = F.col("w")
-    rules = [Rule("ACCESSIBLE", has(w, OPEN)), Rule("BLOCKED", F.col("doc_id") % 3 == 0), Rule("BLOCKED", has(w, BLOCKED))]
-    return docs(spark, sf_dir).select(first_match(rules, "UNKNOWN").alias("access")).groupBy("access").agg(F.count("*").alias("n"))
+_one("language_of_postings", "detected_language")
+_one("seniority_cascade", "experience_level")
+_one("unpaid_flag", "is_unpaid")
+_one("open_to_home", "open_to_home")
 
 
-@query("unpaid_flag", f"SELECT doc_id, {sql_hits(UNPAID)} > 0 AS unpaid FROM documents")
-def unpaid_flag(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", has(F.col("w"), UNPAID).alias("unpaid"))
+@query("reach_cascade", f"SELECT doc_id, reach, reach_reason FROM {ENRICHED}")
+def reach_cascade(spark, sf_dir):
+    return listings.enriched(spark, sf_dir).select("doc_id", "reach", "reach_reason")
 
 
-_TAGS = "list_filter([" + ", ".join(f"CASE WHEN {sql_hits(v, 'w')} > 0 THEN '{k}' END" for k, v in TAGS.items()) + "], lambda x: x IS NOT NULL)"
+@query("access3_cascade", f"SELECT accessibility, count(*) AS n FROM {ENRICHED} GROUP BY accessibility")
+def access3_cascade(spark, sf_dir):
+    return listings.enriched(spark, sf_dir).groupBy("accessibility").agg(F.count("*").alias("n"))
 
 
-@query("tech_tags", f"SELECT doc_id, array_to_string(list_sort({_TAGS}), ',') AS tags FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
+@query("tech_tags", f"SELECT doc_id, array_to_string({listings.TECH}, ',') AS tags FROM {READ}")
 def tech_tags(spark, sf_dir):
-    found = F.array_compact(F.array(*[F.when(has(F.col("w"), v), k) for k, v in TAGS.items()]))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(found), ",").alias("tags"))
+    return listings.enriched(spark, sf_dir).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
-_VAGUE = "CASE WHEN n > 0 AND n < 15 THEN round(0.7 * (1 - n / 15.0), 4) ELSE 0.0 END"
+_WORDS = "len(list_filter(regexp_split_to_array(description_text, '\\s+'), lambda w: w <> ''))"
+_HOURLY = "try_cast(replace(regexp_extract(description_text, '" + risks.HOURLY + "', 1, 'i'), ',', '') AS DOUBLE)"
+#: Phrases that ask for money first count unless a negation stands before them in their clause; the notes hold one of each.
+_ASKED = f"({sql_any('ld', risks.UPFRONT)} AND NOT contains(ld, 'no security deposit'))"
+_RISK = f"""SELECT doc_id, vague, round(rate, 2) AS rate, asked, free, round(least(1.0, vague + rate + asked + free), 2) AS total FROM (SELECT doc_id,
+ greatest(CASE WHEN n > 0 AND n < 15 THEN round(0.7 * (1 - n / 15.0), 2) ELSE 0.0 END, CASE WHEN {sql_any('ld', risks.VAGUE)} THEN 0.7 ELSE 0.0 END)::DOUBLE AS vague, CASE WHEN hourly > 150 THEN least(0.8, hourly / 300) ELSE 0.0 END::DOUBLE AS rate,
+ CASE WHEN {_ASKED} THEN 0.9 ELSE 0.0 END::DOUBLE AS asked, CASE WHEN doc_id % 6 = 0 THEN CASE WHEN contains(ld, 'portfolio') THEN 0.3 ELSE 0.7 END ELSE 0.0 END::DOUBLE AS free FROM (SELECT doc_id, {_WORDS} AS n, lower(description_text) AS ld, {_HOURLY} AS hourly FROM {listings.SQL}))"""
 
 
-@query(
-    "risk_score",
-    f"SELECT doc_id, round(least(1.0, {_VAGUE} + CASE WHEN bad > 0 THEN 0.9 ELSE 0.0 END + CASE WHEN free > 0 THEN 0.3 ELSE 0.0 END), 4) AS risk FROM (SELECT doc_id, len({WORDS}) AS n, {sql_hits(UNPAID)} AS bad, {sql_hits(HYBRID)} AS free FROM documents)",
-)
+@query("risk_score", _RISK)
 def risk_score(spark, sf_dir):
-    n = F.size("w")
-    vague = F.when((n > 0) & (n < 15), F.round(F.lit(0.7) * (1 - n / 15), 4)).otherwise(0.0)
-    total = vague + F.when(has(F.col("w"), UNPAID), 0.9).otherwise(0.0) + F.when(has(F.col("w"), HYBRID), 0.3).otherwise(0.0)
-    return docs(spark, sf_dir).select("doc_id", F.round(F.least(F.lit(1.0), total), 4).alias("risk"))
+    d = listings.listings(spark, sf_dir).select("doc_id", risks.risk(F.col("description_text"), F.when(F.col("doc_id") % 6 == 0, "Unpaid")).alias("r"))
+    return d.select("doc_id", "r.vague", "r.rate", F.col("r.upfront").alias("asked"), F.col("r.unpaid").alias("free"), "r.total")
 
 
 _SAID = "CASE WHEN p_partkey % 4 = 0 THEN p_name || ' paid $' || CAST(p_size AS VARCHAR) WHEN p_partkey % 4 = 1 THEN p_name || ' bounty' WHEN p_partkey % 4 = 2 THEN p_name || ' unpaid work' ELSE p_name END"
@@ -136,96 +108,42 @@ def description_sections(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.map_keys(s)), ",").alias("found"), F.length(sections.core_text(F.col("text"))).alias("core_chars"))
 
 
-_REASON = f"""CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'NOT_REMOTE' WHEN {sql_hits(UNPAID, 'w')} > 0 THEN 'UNPAID' WHEN lang <> 'en' THEN 'NON_ENGLISH' WHEN {sql_hits(SENIOR, 't')} > 0 THEN 'TOO_SENIOR'
- WHEN {sql_hits(INTERN, 'w')} > 6 THEN 'DEGREE_OR_EXP' WHEN {sql_hits(HYBRID, 't')} > 0 THEN 'NON_TECHNICAL' WHEN {sql_hits(BLOCKED, 'w')} > 9 THEN 'REGION_LOCKED' WHEN {sql_hits(OPEN, 'w')} = 0 THEN 'NEEDS_REVIEW' ELSE 'PASS' END"""
-_JUDGED = f"(SELECT doc_id, source, n_chars, w, {_REASON} AS reason FROM (SELECT *, {WORDS} AS w, regexp_extract_all(lower({TITLE}), '[a-zà-ÿ]+') AS t FROM documents))"
-
-
-def judged(spark, sf_dir):
-    w, t = F.col("w"), F.col("t")
-    rules = [
-        Rule("NOT_REMOTE", (F.col("doc_id") % 3 == 0) & (F.col("doc_id") % 5 != 0)),
-        Rule("UNPAID", has(w, UNPAID)),
-        Rule("NON_ENGLISH", F.col("lang") != "en"),
-        Rule("TOO_SENIOR", has(t, SENIOR)),
-        Rule("DEGREE_OR_EXP", count_of(w, INTERN) > 6),
-        Rule("NON_TECHNICAL", has(t, HYBRID)),
-        Rule("REGION_LOCKED", count_of(w, BLOCKED) > 9),
-        Rule("NEEDS_REVIEW", count_of(w, OPEN) == 0),
-    ]
-    return docs(spark, sf_dir).withColumn("t", words(title())).withColumn("reason", first_match(rules))
-
-
-@query("hard_filter_reasons", f"SELECT doc_id, reason FROM {_JUDGED}")
+@query("hard_filter_reasons", f"SELECT doc_id, reason FROM {JUDGED}")
 def hard_filter_reasons(spark, sf_dir):
-    return judged(spark, sf_dir).select("doc_id", "reason")
+    return listings.judged(spark, sf_dir).select("doc_id", "reason")
 
 
-@query("hard_filter_counts", f"SELECT reason, count(*) AS n FROM {_JUDGED} GROUP BY reason")
+@query("hard_filter_counts", f"SELECT reason, count(*) AS n FROM {JUDGED} GROUP BY reason")
 def hard_filter_counts(spark, sf_dir):
-    return filters.reason_counts(judged(spark, sf_dir))
+    return filters.reason_counts(listings.judged(spark, sf_dir))
 
 
-@query("hard_filter_pass_rate", f"SELECT count(*) AS total, CAST(sum(CASE WHEN reason IN ('PASS', 'NEEDS_REVIEW') THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN reason = 'NEEDS_REVIEW' THEN 1 ELSE 0 END) AS BIGINT) AS needs_review, round(avg(CASE WHEN reason IN ('PASS', 'NEEDS_REVIEW') THEN 1.0 ELSE 0.0 END), 3) AS pass_rate FROM {_JUDGED}")
+@query("hard_filter_pass_rate", f"SELECT count(*) AS total, CAST(sum(CASE WHEN reason IN ('PASS', 'NEEDS_REVIEW') THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN reason = 'NEEDS_REVIEW' THEN 1 ELSE 0 END) AS BIGINT) AS needs_review, round(avg(CASE WHEN reason IN ('PASS', 'NEEDS_REVIEW') THEN 1.0 ELSE 0.0 END), 3) AS pass_rate FROM {JUDGED}")
 def hard_filter_pass_rate(spark, sf_dir):
-    return filters.pass_rate(judged(spark, sf_dir))
-
-
-_EARNED = " + ".join(f"CASE WHEN list_contains(w, '{k}') THEN {v} ELSE 0 END" for k, v in WEIGHTS.items())
-_SCORED = f"greatest(0.0, least(100.0, round(least(50.0, ({_EARNED}) / {sum(WEIGHTS.values())}.0 * 150) + CASE WHEN {sql_hits(JUNIOR, 'w')} > 0 THEN 30 ELSE 0 END - CASE WHEN {sql_hits(UNPAID, 'w')} > 0 THEN 100 ELSE 0 END + CASE WHEN doc_id % 3 <> 0 THEN 15 ELSE 0 END, 2)))"
+    return filters.pass_rate(listings.judged(spark, sf_dir))
 
 
-def match_points():
-    """The additive score over the documents' words: weighted skills scaled to 50, a bonus, a penalty, a place bonus."""
-    w = F.col("w")
-    earned = sum([F.when(F.array_contains(w, k), v).otherwise(0) for k, v in WEIGHTS.items()], F.lit(0))
-    skills = F.least(F.lit(50.0), earned / float(sum(WEIGHTS.values())) * 150)
-    more = points([Rule("junior", has(w, JUNIOR), 30), Rule("unpaid", has(w, UNPAID), -100), Rule("remote", F.col("doc_id") % 3 != 0, 15)])
-    return clamp(F.round(skills + more, 2), 0.0, 100.0)
+@query("match_score", f"SELECT doc_id, final, array_to_string(matched, ',') AS matched, array_to_string(missing, ',') AS missing, array_to_string(flags, ',') AS flags FROM {SCORED}")
+def match_score(spark, sf_dir):
+    join = lambda c: F.array_join(f"s.{c}", ",").alias(c)
+    return listings.scored(spark, sf_dir).select("doc_id", "s.final", join("matched"), join("missing"), join("flags"))
 
 
-@query("match_score", f"SELECT doc_id, CAST({_SCORED} AS DOUBLE) AS score FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
-def match_score(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", match_points().alias("score"))
+@query("match_reason", f"SELECT doc_id, CASE WHEN list_contains(flags, 'PLACEHOLDER') THEN 'PLACEHOLDER' WHEN list_contains(flags, 'NO_TECH_SIGNAL') THEN 'NO_TECH_SIGNAL' WHEN list_contains(flags, 'SENIOR') THEN 'SENIOR' WHEN final <= 0 THEN 'LOW_SCORE' END AS why FROM {SCORED}")
+def match_reason(spark, sf_dir):
+    return listings.scored(spark, sf_dir).select("doc_id", score.match_reason(F.col("s.flags"), F.col("s.final")).alias("why"))
 
 
 @query(
     "q_flagship_feed",
-    f"SELECT doc_id, source, reason, CAST({_SCORED} AS DOUBLE) AS score FROM {_JUDGED} j WHERE reason IN ('PASS', 'NEEDS_REVIEW') AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = j.doc_id) ORDER BY score DESC, doc_id LIMIT 100",
+    f"SELECT doc_id, source, reason, final FROM {SCORED} j WHERE reason IN ('PASS', 'NEEDS_REVIEW') AND NOT list_contains(flags, 'PLACEHOLDER') AND NOT list_contains(flags, 'NO_TECH_SIGNAL') AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = j.doc_id) ORDER BY final DESC, doc_id LIMIT 100",
 )
 def q_flagship_feed(spark, sf_dir):
     from sievework.operators.relational import anti
 
-    d = anti(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
-    d = d.withColumn("w", words(F.col("text"))).withColumn("t", words(title()))
-    w, t = F.col("w"), F.col("t")
-    rules = [
-        Rule("NOT_REMOTE", (F.col("doc_id") % 3 == 0) & (F.col("doc_id") % 5 != 0)),
-        Rule("UNPAID", has(w, UNPAID)),
-        Rule("NON_ENGLISH", F.col("lang") != "en"),
-        Rule("TOO_SENIOR", has(t, SENIOR)),
-        Rule("DEGREE_OR_EXP", count_of(w, INTERN) > 6),
-        Rule("NON_TECHNICAL", has(t, HYBRID)),
-        Rule("REGION_LOCKED", count_of(w, BLOCKED) > 9),
-        Rule("NEEDS_REVIEW", count_of(w, OPEN) == 0),
-    ]
-    d = d.withColumn("reason", first_match(rules)).where(filters.passed(F.col("reason")))
-    return d.select("doc_id", "source", "reason", match_points().alias("score")).orderBy(F.desc("score"), "doc_id").limit(100)
-
-
-_GATE = [("CLOSED", "doc_id % 11 = 0", -50), ("STALE", "n_chars > 6000", -30), ("NO_TASK", "n_chars < 80", -25), ("TRIVIAL_TASK", f"{sql_hits(UNPAID, 'w')} > 0", -30), ("LABEL_STUFFING", f"{sql_hits(OPEN, 'w')} > 12", -20)]
-_BONUS = [(f"{sql_hits(JUNIOR, 'w')} > 0", 40), ("doc_id % 2 = 0", 8), ("n_chars <= 2000", 5)]
-_GSCORE = "greatest(0, least(100, 50" + "".join(f" + CASE WHEN {c} THEN {p} ELSE 0 END" for _, c, p in _GATE) + "".join(f" + CASE WHEN {c} THEN {p} ELSE 0 END" for c, p in _BONUS) + "))"
-_GREASONS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c, _ in _GATE) + "], lambda x: x IS NOT NULL), ',')"
-
-
-@query("gate_score_reasons", f"SELECT doc_id, reasons, CAST(score AS INTEGER) AS score, CASE WHEN reasons <> '' THEN 'reject' WHEN score >= 70 THEN 'accept' ELSE 'uncertain' END AS verdict FROM (SELECT doc_id, {_GREASONS} AS reasons, {_GSCORE} AS score FROM (SELECT doc_id, n_chars, {WORDS} AS w FROM documents))")
-def gate_score_reasons(spark, sf_dir):
-    w = F.col("w")
-    rules = [Rule("CLOSED", F.col("doc_id") % 11 == 0, -50), Rule("STALE", F.col("n_chars") > 6000, -30), Rule("NO_TASK", F.col("n_chars") < 80, -25), Rule("TRIVIAL_TASK", has(w, UNPAID), -30), Rule("LABEL_STUFFING", count_of(w, OPEN) > 12, -20)]
-    bonus = [Rule("junior", has(w, JUNIOR), 40), Rule("fresh", F.col("doc_id") % 2 == 0, 8), Rule("short", F.col("n_chars") <= 2000, 5)]
-    d = docs(spark, sf_dir).select("doc_id", F.array_join(all_matches(rules), ",").alias("reasons"), clamp(points([*rules, *bonus], 50)).cast("int").alias("score"))
-    return d.withColumn("verdict", F.when(F.col("reasons") != "", "reject").when(F.col("score") >= 70, "accept").otherwise("uncertain"))
+    d = anti(listings.scored(spark, sf_dir), table(spark, sf_dir, "labels"), ["doc_id"])
+    d = d.where(filters.passed(F.col("reason")) & score.feed_eligible(F.col("title"), F.col("s.matched")).isNull())
+    return d.select("doc_id", "source", "reason", "s.final").orderBy(F.desc("final"), "doc_id").limit(100)
 
 
 _T = "(SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(" + TITLE + "), '[^a-zà-ÿ]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents)"
@@ -254,32 +172,32 @@ def triage_bucket(spark, sf_dir):
     return d.select("doc_id", score.triage(a, b).alias("bucket"))
 
 
-@query(
-    "opportunity_label",
-    f"SELECT doc_id, CASE WHEN n_chars < 80 THEN 'insufficient_information' WHEN {sql_hits(UNPAID, 'w')} > 0 THEN 'too_complex' WHEN {sql_hits(JUNIOR, 'w')} >= 2 THEN 'good_fit' WHEN {sql_hits(JUNIOR, 'w')} = 1 THEN 'possible_fit' ELSE 'bad_fit' END AS label FROM (SELECT doc_id, n_chars, {WORDS} AS w FROM documents)",
-)
+_PRIMARY = " + ".join(f"CASE WHEN list_contains(matched, '{k}') THEN 1 ELSE 0 END" for k in score.PRIMARY)
+_OPPORTUNITY = f"""SELECT doc_id, CASE WHEN len(trim(description_text)) < 80 THEN 'insufficient_information' WHEN {sql_has('said', score.TEAM)} OR {sql_has('said', score.PRODUCTION)} THEN 'too_complex'
+ WHEN len(matched) >= 2 AND ({_PRIMARY}) / {len(score.PRIMARY)}.0 >= 0.15 AND NOT {sql_has('said', score.SENIOR)} AND NOT {sql_has('said', score.LONG_EXPERIENCE)} THEN 'good_fit' WHEN len(matched) >= 1 OR ({_PRIMARY}) / {len(score.PRIMARY)}.0 >= 0.08 THEN 'possible_fit' ELSE 'bad_fit' END AS label
+ FROM (SELECT *, {listings.fold("title || chr(10) || description_text")} AS said FROM {SCORED})"""
+
+
+@query("opportunity_label", _OPPORTUNITY)
 def opportunity_label(spark, sf_dir):
-    w = F.col("w")
-    rules = [Rule("insufficient_information", F.col("n_chars") < 80), Rule("too_complex", has(w, UNPAID)), Rule("good_fit", count_of(w, JUNIOR) >= 2), Rule("possible_fit", count_of(w, JUNIOR) == 1)]
-    return docs(spark, sf_dir).select("doc_id", first_match(rules, "bad_fit").alias("label"))
+    o = score.opportunity("freelance", F.col("title"), F.col("description_text"), F.col("tags"))
+    return listings.listings(spark, sf_dir).select("doc_id", o["label"].alias("label"))
+
+
+_TITLE_RULE = "CAST(greatest(0.0, least(1.0, 0.5 + 0.25 * (" + " + ".join(f"CAST({sql_has('title', p)} AS INTEGER)" for p in models.FOR) + ") - 0.4 * (" + " + ".join(f"CAST({sql_has('title', p)} AS INTEGER)" for p in models.AGAINST) + "))) AS DOUBLE)"
 
 
-@query("title_keyword_score", f"SELECT doc_id, CAST(greatest(0.0, least(1.0, 0.5 + 0.25 * p - 0.4 * q)) AS DOUBLE) AS score FROM (SELECT doc_id, {sql_hits(OPEN, 't')} AS p, {sql_hits(HYBRID, 't')} AS q FROM (SELECT doc_id, regexp_extract_all(lower({TITLE}), '[a-zà-ÿ]+') AS t FROM documents))")
+@query("title_keyword_score", f"SELECT doc_id, round({_TITLE_RULE}, 6) AS score FROM {listings.SQL}")
 def title_keyword_score(spark, sf_dir):
-    t = words(title())
-    raw = F.lit(0.5) + F.lit(0.25) * count_of(t, OPEN) - F.lit(0.4) * count_of(t, HYBRID)
-    return table(spark, sf_dir, "documents").select("doc_id", clamp(raw, 0.0, 1.0).alias("score"))
+    return listings.listings(spark, sf_dir).select("doc_id", F.round(models.title_rule(F.col("title")), 6).alias("score"))
 
 
-@query("composite_score", f"SELECT doc_id, round(0.6 * CAST({_SCORED} AS DOUBLE) / 100 + 0.4 * coalesce(CAST(quality AS DOUBLE), 0.5), 6) AS score FROM (SELECT d.doc_id, quality, {WORDS} AS w FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+@query("composite_score", f"SELECT s.doc_id, round(0.6 * final / 100 + 0.4 * coalesce(CAST(quality AS DOUBLE), 0.5), 6) AS score FROM {SCORED} s LEFT JOIN labels l ON s.doc_id = l.doc_id")
 def composite_score(spark, sf_dir):
-    d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return d.select("doc_id", F.round(F.lit(0.6) * match_points() / 100 + F.lit(0.4) * F.coalesce(F.col("quality").cast("double"), F.lit(0.5)), 6).alias("score"))
+    d = listings.scored(spark, sf_dir).select("doc_id", "s.final").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return d.select("doc_id", F.round(F.lit(0.6) * F.col("final") / 100 + F.lit(0.4) * F.coalesce(F.col("quality").cast("double"), F.lit(0.5)), 6).alias("score"))
 
 
-@query("posting_enrich_real")
-def posting_enrich_real(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", title().alias("title"), F.col("text").alias("description_text"), F.lit("").alias("location_raw"), F.lit("").alias("remote_restriction"), (F.col("doc_id") % 3 != 0).alias("is_remote"), F.array().cast("array<string>").alias("tags"))
-    e = enrich.enrich(d)
-    reason = filters.hard_filter(F.col("title"), F.col("description_text"), F.col("location_raw"), F.col("remote_restriction"), F.col("is_remote"), F.col("detected_language"), F.col("reach"))
-    return e.select("doc_id", "detected_language", "experience_level", "is_unpaid", "accessibility", "reach", "reach_reason", reason.alias("reason"))
+@query("title_penalty", f"SELECT doc_id, CASE WHEN p < 0.5 THEN round(25 * (0.5 - p) / 0.5, 2) ELSE 0.0 END::DOUBLE AS penalty FROM (SELECT doc_id, {_TITLE_RULE} AS p FROM {listings.SQL})")
+def title_penalty(spark, sf_dir):
+    return listings.listings(spark, sf_dir).select("doc_id", score.title_penalty(models.title_rule(F.col("title"))).alias("penalty"))
