@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from sievework.plans import advice, cascades, evaluation, issues, relations, scalars, streams  # noqa: F401
+from sievework.plans import advice, cascades, evaluation, issues, payloads, relations, scalars, streams  # noqa: F401

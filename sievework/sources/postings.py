@@ -223,20 +223,18 @@ def transformer_of(source: Column) -> Column:
 def normalize(raw: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Postings of raw rows (source, payload), in SCHEMA. Sources without a transformer are left out: see unknown_sources().
 
-    Each source is a filter and a projection of its own. Direct tracking-system links replace other addresses, a
-    country lock in the text replaces an unspecified restriction, long names are cut, untitled rows are dropped.
+    One pass: the row's kind decides which transformer's fields are taken, and all that follows is done once. Direct
+    tracking-system links replace other addresses, a country lock in the text replaces an unspecified restriction,
+    long names are cut, untitled rows are dropped.
     """
-    kind = raw.withColumn("_kind", transformer_of(F.col("source")))
-    out = None
-    for name in names or TRANSFORMERS:
-        made = TRANSFORMERS[name]()
-        spare = made.pop("spare", F.lit(None).cast("string"))
-        one = kind.where(F.col("_kind") == name).select(F.col("source"), spare.alias("_spare"), *[c.alias(k) for k, c in made.items()])
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     types = dict(x.split(" ", 1) for x in SCHEMA.split(", "))
-    for c, t in types.items():
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast(t))
+    made = F.lit(None)
+    for name in names or TRANSFORMERS:
+        fields = TRANSFORMERS[name]()
+        spare = fields.pop("spare", F.lit(None))
+        cols = [fields.get(c, F.lit(None)).try_cast(t).alias(c) for c, t in types.items() if c != "source"]
+        made = F.when(F.col("_kind") == name, F.struct(spare.cast("string").alias("_spare"), *cols)).otherwise(made)
+    out = raw.withColumn("_kind", transformer_of(F.col("source"))).where(F.col("_kind").isin(*(names or TRANSFORMERS))).select("source", made.alias("_m")).select("source", "_m.*")
     text = clean_html(F.col("description_html"))
     out = out.withColumn("description_text", _or(text, F.col("_spare"), F.col("title"), ""))
     lock = country_lock(F.concat_ws(" ", "location_raw", "description_text"))
