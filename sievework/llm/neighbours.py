@@ -154,10 +154,11 @@ def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
     every query then visits so many leaves, and more until these hold k other rows. Leaves are gathered into cells
     of bounded size (a crowded leaf fills several) and the queries that visit a cell into chunks, so that a task
     returns a query's best of many leaves at once. Rows without an id or
-    with a null, zero, ragged or non-finite vector take no part; rows with the query's id are its own.
+    with a null, zero or non-finite vector take no part, nor do vectors of another length than the commonest, which
+    have no inner product with it; rows with the query's id are its own; of queries with one id the least vector asks.
     """
     spark = table.sparkSession
-    vectors, asked = valid(table, id_col, vector), valid(queries, id_col, vector).dropDuplicates(["id"])
+    vectors, asked = valid(table, id_col, vector), valid(queries, id_col, vector).groupBy("id").agg(F.min("x").alias("x"))
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(x, 0D, (a, v) -> a + v * v)")).alias("m")).first()
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -110,14 +110,20 @@ def judged(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows. kept: not base_failed, and a
     posterior of at least `least`. The votes take one of 3^8 patterns at most, so what EM works on is bounded
-    however large the corpus, while it counts every row. Null and empty texts have no words and fail.
+    however large the corpus, while it counts every row. Null and empty texts have no words and fail; repeated rows
+    are judged alike and come back repeated; an empty table stays empty; input columns named like a result are
+    replaced by it, all others stay whatever their names.
     """
     rules = votes()
     names = [f"_v_{r}" for r in rules]
-    d = written(base_stats(docs, text).withColumns({n: v for n, v in zip(names, rules.values())}), "quality")
+    others = [c for c in docs.columns if c != text]
+    boxed = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    d = written(base_stats(boxed, "_text").withColumns({n: v for n, v in zip(names, rules.values())}), "quality")
     counted = d.groupBy(*names).agg(F.count("*").alias("_n")).collect()  # 3^8 rows at most
     p = fit(sorted((tuple(r[n] for n in names), r["_n"]) for r in counted))
     table = d.sparkSession.createDataFrame([(*k, x) for k, x in p.items()], ", ".join(f"{n} tinyint" for n in names) + ", p_quality double")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     d = d.join(F.broadcast(table), names, "left").withColumn("base_failed", failed)
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= least)).drop(*names)
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= least)).drop(*names)
+    results = [c for c in d.columns if c != "_row"]
+    return d.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(others) if c.lower() not in results], *results)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def bounded(df: DataFrame, key: str, n: int, total: int | None = None) -> list[Row]:
-    """About n rows, never more, by the hash of the key: all of them if there are no more.
+    """About n rows, never more, by the hash of the whole row: all of them if there are no more.
 
     A threshold on the hash picks them where they lie, so what reaches the driver does not grow with the number of
-    partitions, as a top-n of every partition would; a limit holds if one key has very many rows.
+    partitions, as a top-n of every partition would; a limit holds if one row is repeated very often, and which of
+    its copies it takes makes no difference.
     """
     total = df.count() if total is None else total
-    h = F.xxhash64(key)
+    h = F.xxhash64(*df.columns)
     if total > n:
         df = df.where(F.pmod(h, F.lit(1 << 30)) < int((n + 4 * n**0.5) / total * (1 << 30)))
     rows = df.withColumn("_hash", h).limit(2 * n).collect()

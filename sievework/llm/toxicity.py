@@ -127,19 +127,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """Fit on at most so many labelled rows, taken in hash order of the id; the labels are the only other input.
 
     where: a Column over the id that a row must satisfy to be learned from. The sample's text is all that reaches
-    the driver. Null labels are left out; a document labelled twice counts once (the larger label).
+    the driver. Null labels are left out; a document labelled twice counts once (the larger label), and so does one
+    that is there twice (the lesser text).
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y")).where("_y is not null and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     if where is not None:
         known = known.where(where(F.col("_id")))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).collect()  # bounded by rows
+    got = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()  # bounded by rows
     got.sort(key=lambda r: r["_id"])
     return fit([r["_text"] for r in got], [int(r["_y"] > 0) for r in got])
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """Add the toxicity of every whole text, from 0 to 1; texts without a sentence (null, empty, blank) get the prior."""
+    """Add the toxicity of every whole text, from 0 to 1; texts without a sentence (null, empty, blank) get the prior.
+
+    Repeated rows score alike and come back repeated; a column that is named like the result is replaced.
+    """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES weights
 

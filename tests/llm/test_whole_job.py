@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sievework.llm import lines, neighbours, simhash, toxicity
+from sievework.session import written
 
 WORDS = "the of and to in is that it for was with as at be this are from or by report river stone paper light water house green market small large quick brown".split()
 
@@ -95,3 +96,52 @@ def test_no_toxic_feature_is_forgotten():
         texts += ["some vileword here", bulk(2_000_000 + 20_000 * k, 20_000)]
         labels += [1.0, 0.0]
     assert "vileword" in toxicity._select(texts, np.array(labels), 10)
+
+
+def test_quality_with_clashing_columns(spark):
+    from sievework.llm import quality
+
+    names = ["_t", "_w", "_h", "_l", "_s", "_p", "n_words", "Kept", "_row", "_text", "other.name", "p_quality"]
+    d = spark.createDataFrame([(i, text(60, 70 + i)) for i in range(5)] + [(9, None), (9, None), (None, "")], "doc_id long, text string")
+    plain = {(r["doc_id"], r["n_words"], r["kept"], r["p_quality"]) for r in quality.judged(d).collect()}
+    out = quality.judged(d.withColumns({n: F.lit(n) for n in names}))
+    assert out.columns[:9] == ["doc_id", "_t", "_w", "_h", "_l", "_s", "_p", "_row", "_text"] and out.columns[9] == "other.name"
+    got = out.collect()
+    assert len(got) == 8 and {(r["doc_id"], r["n_words"], r["kept"], r["p_quality"]) for r in got} == plain and all(r["_t"] == "_t" for r in got)
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated ids and rows, clashing columns and an empty table pass through all five stages."""
+    import pytest
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    good = [text(150, 300 + i) + "\n" + text(40, 400 + i) for i in range(12)]
+    rows = [(i, t, None, "s", len(t)) for i, t in enumerate(good)] + [(3, good[3], "en", "s", 1), (4, good[5] + " more", "en", "s", 1), (None, good[6], "en", None, 1), (None, None, None, None, None), (7, "", "en", "s", 0), (None, text(150, 999), "en", "s", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"_row": F.lit(1), "fp": F.lit("x"), "score": F.lit(2), "kept": F.lit(3), "h": F.lit(4), "n_words": F.lit(5)})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    for name, frame_ in (("some", d), ("none", d.limit(0))):
+        frame_.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, f"{tmp_path}/some"), "stage", keep=True)
+        assert docs.columns == d.columns
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {r["doc_id"] for r in out} == {*range(12), None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_scratch_of_other_queries_stays(spark, tmp_path):
+    """A lazy result of one query can be read after another has run the pipeline, and a released table is gone."""
+    import pytest
+
+    from sievework.llm import packing
+    from sievework.llm.queries import vocabulary
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = spark.createDataFrame([(i, text(80, 50 + i), "en", "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    lazy = packing.pack(d.select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 20
+    assert lazy.select("doc_id").distinct().count() == 20
