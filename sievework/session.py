@@ -107,6 +107,12 @@ def release(spark: SparkSession, paths: list[str], but: DataFrame | None = None)
             made.remove(path)
 
 
+def keep_only(spark: SparkSession, began: int, *frames: DataFrame) -> None:
+    """Delete the scratch tables written since a mark, but for those that these DataFrames read."""
+    held = {f.rsplit("/", 2)[-2] for df in frames for f in df.inputFiles()}
+    release(spark, [p for p in made_since(began) if p.rsplit("/", 1)[-1] not in held])
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver forget plans that nothing refers to, and with them their shuffle files on the executors' disks.
 
