@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import written
+from sievework.session import free_shuffles, keep_only, mark, written
 
 
 def _state(df: DataFrame) -> tuple:
@@ -17,13 +17,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
 
     Alternating large-star and small-star rounds: every round is a min aggregate with map-side combine and an
     equi-join, so no node's neighbourhood is ever gathered in one place, and the rounds grow with the logarithm
-    of the longest path. Each round is written to the shared scratch folder. Loops and nulls are ignored;
-    nodes without an edge to another node do not appear. An empty table gives an empty table.
+    of the longest path. Each round is written to the shared scratch folder, and the round before deleted. Loops
+    and nulls are ignored; nodes without an edge to another node do not appear. An empty table gives an empty table.
     """
+    spark, began = edges.sparkSession, mark()
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v))).distinct()
     e = written(e, "edges")
     was = _state(e)
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         if not was[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,6 +33,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
+        del both, least, large, small
+        keep_only(spark, began, e)
+        if turn % 3 == 2:
+            free_shuffles(spark)
         now = _state(e)
         if now == was:
             break
