@@ -93,7 +93,9 @@ def test_tiles():
     assert {int(x) for x in a[:50]} <= {int(x) for x in u} | {int(x) for x in v}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, components.SMALL_EDGES])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL_EDGES", small)  # both the shuffled and the broadcast form
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (3, 2)] + [(100 + i, 101 + i) for i in range(60)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {100 + i: 100 for i in range(61)}
