@@ -64,9 +64,10 @@ _LATEST = "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_numbe
 @query("latest_per_key_lateral", _LATEST)
 def latest_per_key_lateral(spark, sf_dir):
     events(spark, sf_dir).createOrReplaceTempView("sievework_events")
+    # not by ORDER BY and LIMIT: Spark numbers the rows of a lateral limit after the shuffle by key, which undoes their order
     return spark.sql(
-        """SELECT u.user_id, l.event_id, l.event_type, l.value FROM (SELECT DISTINCT user_id FROM sievework_events) u
-        JOIN LATERAL (SELECT event_id, event_type, value FROM sievework_events e WHERE e.user_id = u.user_id ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 1) l"""
+        """SELECT u.user_id, l.r.* FROM (SELECT DISTINCT user_id FROM sievework_events) u
+        JOIN LATERAL (SELECT max_by(struct(event_id, event_type, value), struct(ts IS NOT NULL, ts, event_id)) AS r FROM sievework_events e WHERE e.user_id <=> u.user_id) l"""
     )
 
 

@@ -48,3 +48,28 @@ def test_entry_lists_everything():
     import __spark_entry__ as entry
 
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _against_sql(spark, folder, name, **tables):
+    """Rows of a query over tables of our own, and of its SQL."""
+    import duckdb
+
+    c = duckdb.connect()
+    for t, sql in tables.items():
+        c.execute(f"COPY ({sql}) TO '{folder}/{t}.parquet' (ROW_GROUP_SIZE 5000)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    d = catalogue.QUERIES[name](spark, str(folder))
+    r = c.execute(catalogue.ORACLES[name])
+    at = [[x[0] for x in r.description].index(n) for n in d.columns]
+    return sorted(map(repr, map(tuple, d.collect()))), sorted(repr(tuple(row[i] for i in at)) for row in r.fetchall())
+
+
+def test_latest_by_lateral_with_null_keys_and_many_partitions(spark, tmp_path):
+    made = "SELECT range AS event_id, TIMESTAMP '2024-01-01' + to_seconds(CAST(hash(range) % 100000 AS BIGINT)) AS ts, CASE WHEN range % 50 = 3 THEN NULL ELSE range * 7919 % 1500 END AS user_id, 'view' AS event_type, CAST(range AS DOUBLE) AS value FROM range(100000)"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        mine, theirs = _against_sql(spark, tmp_path, "latest_per_key_lateral", events=made)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert mine == theirs
