@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,19 +103,23 @@ def _count(text: Column, terms) -> Column:
     return sum([text.contains(t).cast("int") for t in terms], F.lit(0))
 
 
-def batch_signals(issues: DataFrame, title: str = "title", author: str = "author", repo: str = "repo") -> DataFrame:
+def batch_signals(issues: DataFrame, title: str = "title", author: str = "author", repo: str = "repo", norm: Column | None = None, who: Column | None = None) -> DataFrame:
     """Add similar_titles, author_recent and template_group: how often a title, author or opening recurs in the batch.
 
     Three aggregates with map-side combine joined back, so a title that a third of all issues share is one row
-    of a small table and not one task's window.
+    of a small table and not one task's window. norm, who: title and author as they are compared, if not by
+    issue_title() and in lower case with null as empty; a null is alike to nulls only.
     """
-    norm, first = issue_title(F.col(title)), F.array_join(F.slice(F.split(issue_title(F.col(title)), " "), 1, 3), " ")
-    who = F.lower(blank(F.col(author)))
+    norm = issue_title(F.col(title)) if norm is None else norm
+    who = F.lower(blank(F.col(author))) if who is None else who
+    first = F.array_join(F.slice(F.split(norm, " "), 1, 3), " ")
     d = issues.withColumns({"_norm": norm, "_open": first, "_who": who})
     titles = d.groupBy("_norm").agg(F.countDistinct(blank(F.col(repo))).alias("_repos"), F.count("*").alias("_titles"))
     authors = d.groupBy("_who").agg(F.count("*").alias("_authored"))
     opened = d.groupBy("_who", "_open").agg(F.count("*").alias("template_group"))
-    d = d.join(titles, "_norm").join(authors, "_who").join(opened, ["_who", "_open"])
+    for counted, keys in ((titles, ["_norm"]), (authors, ["_who"]), (opened, ["_who", "_open"])):
+        counted = counted.withColumnsRenamed({k: f"{k}_of" for k in keys})
+        d = d.join(counted, reduce(lambda a, b: a & b, [d[k].eqNullSafe(counted[f"{k}_of"]) for k in keys])).drop(*[f"{k}_of" for k in keys])
     d = d.withColumn("similar_titles", F.greatest("_repos", "_titles") - 1).withColumn("author_recent", F.col("_authored") - 1)
     return d.drop("_norm", "_open", "_who", "_repos", "_titles", "_authored")
 

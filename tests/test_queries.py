@@ -73,3 +73,10 @@ def test_latest_by_lateral_with_null_keys_and_many_partitions(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert mine == theirs
+
+
+def test_batch_signals_of_nulls_and_words_like_hex(spark, tmp_path):
+    texts = ["NULL", "''", "'aededea bug'", "'bug'", "'...'", "'one two three four'", "'One two three'"]
+    made = " UNION ALL ".join(f"SELECT {i * 3 + k} AS doc_id, {t} AS text, {who} AS source" for i, t in enumerate(texts) for k, who in enumerate(["NULL", "''", "'src1'"]))
+    mine, theirs = _against_sql(spark, tmp_path, "gate_batch_signals", documents=made)
+    assert mine == theirs
