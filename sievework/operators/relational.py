@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import written
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
     """The row of each key with the greatest order values: one aggregate with map-side combine, no sort, no window.
@@ -59,11 +61,14 @@ def explode_count(df: DataFrame, items: Column, most: int) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, order: str, step: int, start: int = 0) -> DataFrame:
-    """Every step-th row in the order of a column.
+    """Every step-th row in the order of a column, nulls last, then of the others that have an order.
 
-    Row numbers come from counts by range of the sorted rows, not from a window over the whole table.
+    Row numbers come from counts by range of the sorted rows, not from a window over the whole table. The sorted
+    rows are stored once, for counts and rows of two evaluations could stand by different ranges.
     """
-    spread = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    by = [F.col(order).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c, kind in df.dtypes if c != order and "map<" not in kind and "variant" not in kind]]
+    spread = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    spread = written(spread, "sorted")
     low = spread.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = low.select(F.col("_part"), F.col("_first"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
     numbered = spread.join(F.broadcast(before), "_part").withColumn("_no", F.col("_row") - F.col("_first") + F.col("_before"))

@@ -80,3 +80,16 @@ def test_batch_signals_of_nulls_and_words_like_hex(spark, tmp_path):
     made = " UNION ALL ".join(f"SELECT {i * 3 + k} AS doc_id, {t} AS text, {who} AS source" for i, t in enumerate(texts) for k, who in enumerate(["NULL", "''", "'src1'"]))
     mine, theirs = _against_sql(spark, tmp_path, "gate_batch_signals", documents=made)
     assert mine == theirs
+
+
+def test_systematic_sample_of_many_partitions(spark, tmp_path):
+    made = "SELECT range * 37 % 400000 AS doc_id, chr(97 + CAST(range % 5 AS INTEGER)) || repeat('x', 200) AS lang, 'a' AS text FROM range(400000)"
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.shuffle.partitions")}
+    for k, v in zip(keep, ("1m", "false", "64")):
+        spark.conf.set(k, v)
+    try:
+        mine, theirs = _against_sql(spark, tmp_path, "systematic_sample", documents=made)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert mine == theirs
