@@ -16,6 +16,8 @@ SHINGLE, LEAST, MINS, ROWS, ROUNDS = 8, 0.8, 20, 4, 3
 AGAIN_MINS, AGAIN_ROWS, LITTLE = 30, 6, 0.001
 #: Lines of a bucket that one task sorts, about.
 BUCKET = 100_000
+#: Lines of a crowded bucket that one task compares with the rest of it, about.
+PART = 1_000
 #: A table of at most so many rows of a few longs (some tens of MB) may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -87,8 +89,8 @@ def candidates(signed: DataFrame, mins: int = MINS, rows: int = ROWS, rounds: in
     A bucket of two gives its pair from the aggregate itself. In a larger one every line is paired with the least,
     with the leader, and with the line before it in the order of other MinHash values, so pairs grow with the bucket
     and not with its square. The leader is the line whose buckets are the fullest: that of which the others are
-    variants, if they are variants of one. A very large bucket is sorted in several parts. A bucket of over three
-    lines holds pairs beyond these: it is crowded, and near_components() takes it up.
+    variants, if they are variants of one. A very large bucket is sorted in several parts. A bucket of over two
+    lines may hold pairs beyond these: it is crowded, and near_components() takes it up.
     """
     found = written(_keys(signed, mins, rows, rounds).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("n > 1"), "buckets")
     pairs = found.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
@@ -102,7 +104,7 @@ def candidates(signed: DataFrame, mins: int = MINS, rows: int = ROWS, rounds: in
         before = F.lag("h").over(Window.partitionBy("key", "part").orderBy(F.col("order"), "h"))
         inside = inside.withColumn("near", F.array("lo", "lead", before)).select("h", F.explode("near").alias("v")).where("v IS NOT NULL AND v != h")
         pairs = pairs.unionByName(inside.select(F.least("h", "v").alias("u"), F.greatest("h", "v").alias("v")))
-    return pairs.groupBy("u", "v").agg(F.count("*").alias("shared")), found.where("n > 3").select("key")
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("shared")), found.where("n > 2").select("key")
 
 
 def apart(crowds: DataFrame, roots: DataFrame) -> DataFrame:
@@ -112,6 +114,22 @@ def apart(crowds: DataFrame, roots: DataFrame) -> DataFrame:
     return inside.join(small(split, split.count()), "key", "left_semi").select("h", "root").distinct()
 
 
+def across(crowds: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Distinct pairs (u, v), u < v, of all lines that share a crowded bucket (key, h) and no component.
+
+    Only pairs go whose numbers of shingles differ by too much to reach `least`. A bucket is dealt out in parts of
+    lines that each meet the whole of it.
+    """
+    inside = crowds.join(small(roots, roots.count()), F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("root"))
+    split = inside.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / PART).alias("parts")).where("lo != hi").select("key", "parts")
+    sizes = texts.select("h", F.size(F.array_distinct(_cut("norm", shingle))).alias("s"))
+    inside = written(inside.join(small(split, split.count()), "key").join(sizes, "h"), "split")
+    a = inside.select("key", F.pmod(F.xxhash64("h"), "parts").alias("part"), F.col("h").alias("u"), F.col("root").alias("ur"), F.col("s").alias("us"))
+    b = inside.select("key", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("h").alias("v"), F.col("root").alias("vr"), F.col("s").alias("vs"))
+    alike = (F.col("us") >= F.lit(least) * F.col("vs")) & (F.col("vs") >= F.lit(least) * F.col("us"))
+    return a.join(b, ["key", "part"]).where(alike & F.expr("u < v AND ur != vr")).select("u", "v").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """The pairs whose exact Jaccard similarity of character shingles is at least `least`."""
     of = lambda c: texts.select(F.col("h").alias(c), F.col("norm").alias(f"{c}t"))
@@ -140,7 +158,7 @@ def near_components(signed: DataFrame, lines: DataFrame, shingle: int = SHINGLE,
     Of each line's pairs the one with most buckets in common is verified first; of the others only those whose
     ends these have not joined yet, for a pair inside a component changes nothing. The lines of crowded buckets that
     are still in several components are signed anew, with other and finer bands, until a whole round adds next to
-    nothing to the links. spent: scratch tables that nothing reads once the texts of lines with candidates are stored.
+    nothing to the links; what these rounds leave in several components is compared pair by pair. spent: scratch tables that nothing reads once the texts of lines with candidates are stored.
     """
     spark = lines.sparkSession
     pairs, crowded = candidates(signed)
@@ -157,7 +175,7 @@ def near_components(signed: DataFrame, lines: DataFrame, shingle: int = SHINGLE,
     roots = _components(links)
     crowds = written(_keys(signed).join(small(crowded, crowded.count()), "key").select("key", "h"), "crowds")
     seen, turn, left = pairs.select("u", "v"), 0, written(apart(crowds, roots).join(texts, "h"), "apart")
-    found = left.count()
+    found = crowded_left = left.count()
     while found and found >= LITTLE * links.count():
         turn, began = turn + 1, mark()
         again = written(signatures(left, shingle, AGAIN_MINS, 42 + turn), "signed")
@@ -168,7 +186,12 @@ def near_components(signed: DataFrame, lines: DataFrame, shingle: int = SHINGLE,
         del again
         keep_only(spark, began, pairs, more)
         free_shuffles(spark)
-    return _components(links) if turn else roots
+    roots = _components(links) if turn else roots
+    if crowded_left:
+        rest = written(across(crowds, roots, texts, shingle, least).join(seen, ["u", "v"], "left_anti"), "pairs")
+        more = written(verified(rest, texts, shingle, least), "verified")
+        roots = _components(links.unionByName(more)) if more.count() else roots
+    return roots
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:

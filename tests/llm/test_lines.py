@@ -79,3 +79,28 @@ def test_a_hub_among_its_variants(spark):
     r.shuffle(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert [x["doc_id"] for x in lines.dedup_lines(d).where("text != ''").collect()] == [0]
+
+
+def test_no_partner_in_a_crowded_bucket_is_lost(spark):
+    """Pairs of one bucket that neither the least, the leader, the neighbours nor the finer rounds bring together."""
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, want = [], set()
+    for i in range(0, 60, 2):  # thirty pairs, each alike in itself alone, all put into one bucket
+        a = text(120)
+        rows += [(i, a), (i + 1, a[:-2] + text(2))]
+        want.add((i, i + 1))
+    d = spark.createDataFrame(rows, "h long, norm string")
+    crowds = d.select(F.lit(1).cast("long").alias("key"), "h")
+    roots = spark.createDataFrame([], "node long, component long")
+    pairs = lines.across(crowds, roots, d)
+    assert pairs.count() == 60 * 59 // 2
+    assert {(x["u"], x["v"]) for x in lines.verified(pairs, d).collect()} == want
+    joined = spark.createDataFrame([(h, 0) for h in range(58)], "node long, component long")
+    assert {(x["u"], x["v"]) for x in lines.across(crowds, joined, d).where("u > 57").collect()} == {(58, 59)}
+
+
+def test_a_bucket_of_three_is_crowded(spark):
+    m = [[1] * lines.MINS, [1] * lines.MINS, [1] * lines.MINS]
+    signed = spark.createDataFrame([(h, 1, *x) for h, x in enumerate(m)], "h long, n long, " + ", ".join(f"m{k} long" for k in range(lines.MINS)))
+    assert lines.candidates(signed)[1].count() == len(lines.bands())
