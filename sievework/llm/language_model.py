@@ -23,7 +23,7 @@ from sievework.session import text_batches, written
 #: characters scored at a time.
 SAMPLE, KNOWN, HEAD, CLASS, CLUSTERS, WIDTH, STREAMS, STEPS, EPOCHS, SLOTS, WINDOW, CHARS = 1500, 131_072, 992, 32, 16, 16, 64, 20, 5, 1024, 64, 6_000_000
 #: The share of all training rows that the network then learns from; tokens a shard; step; streams and tokens at a time.
-SHARE, SHARD, RATE, WIDE, CHUNK = 1 / 8, 2_000_000, 0.0007, 128, 1_000_000
+SHARE, SHARD, RATE, WIDE, CHUNK = 1, 2_000_000, 0.0007, 128, 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = ""  # no word is empty
 LN10 = float(np.log(10))
@@ -444,7 +444,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
 
     held_out: a Column over docs; rows where it is true are scored and never learned from (null is false). Counts
     cover all training rows. The network and the clusters of words start from at most `sample` of them, in hash order
-    of the key; then the network goes on over a fixed `share` of all of them, which grows with the table. The `known` most frequent words are resolved where texts are scored; any other word goes back to the table of all
+    of the key; then the network goes on over a `share` of all of them: every one, if no less is asked. The `known` most frequent words are resolved where texts are scored; any other word goes back to the table of all
     counts through a join, so no count is cut off. Null and empty texts are one end token; repeated rows and null
     keys are scored like any other. The score is a normalized probability: class, then word in its class.
     """

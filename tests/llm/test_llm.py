@@ -306,6 +306,16 @@ def test_network_goes_on_over_a_growing_share(spark):
     assert base < few < more
 
 
+def test_network_learns_from_every_training_row(spark):
+    """What refine() saw is each training token once."""
+    d = spark.createDataFrame([(i, "one two three") for i in range(300)], "id long, text string")
+    top = [("", 300), *[(w, 300) for w in ("one", "two", "three")]]
+    lex = language_model.lexicon([[b"one", b"two", b"three"]] * 5, top)
+    net = language_model.Network(lex.heads + len(lex.prior), lex.n_class + len(lex.prior), lex.n_class)
+    model = language_model.Model(lex, net, np.log10(np.array([c for _, c in top]) + 0.1), np.zeros(len(lex.prior)))
+    assert language_model.refine(d, model, 1200) == 1200
+
+
 def test_network_gradient():
     net = language_model.Network(7, 5, 2, width=4)
     r = np.random.default_rng(0)
