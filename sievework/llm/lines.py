@@ -11,9 +11,10 @@ from sievework.llm.components import connected_components
 from sievework.session import free_shuffles, keep_only, made_since, mark, release, written
 
 SHINGLE, LEAST, MINS, ROWS, ROUNDS = 8, 0.8, 20, 4, 3
-#: The same for the rounds in which crowded buckets are looked at again: more values, finer bands; these end when one
-#: adds less than this share of all links.
-AGAIN_MINS, AGAIN_ROWS, LITTLE = 30, 6, 0.001
+#: Longs of 64 bits in the sketch of a line, a power of two.
+WORDS = 16
+#: So many pairs are compared at once; of more (and more than half the lines) each component's nearest pair first.
+FEW = 20_000
 #: Lines of a bucket that one task sorts, about.
 BUCKET = 100_000
 #: Lines of a crowded bucket that one task compares with the rest of it, about.
@@ -45,20 +46,67 @@ def _cut(norm: Column | str, shingle: int) -> Column:
     return F.regexp_extract_all(norm, F.lit(f"(?s)(?=([^\\x{{DC00}}-\\x{{DFFF}}].{{{shingle - 1}}}))"), F.lit(1))
 
 
-def signatures(lines: DataFrame, shingle: int = SHINGLE, mins: int = MINS, seed: int = 42) -> DataFrame:
-    """One row for each distinct line: h, n (occurrences), m0.. (MinHash values over its character shingles).
+def _hashed(lines: DataFrame, shingle: int) -> DataFrame:
+    """One row for each shingle of a line: h, i (1 for the first), x (its hash).
 
     A shingle is read from the UTF-16 form of the line, where each starts at a known byte (lines with characters
-    beyond the base plane: from UTF-32, and then written as UTF-16), and hashed once; the hash times an odd constant
-    of each function, plus another, modulo 2^32, is the order whose least element that function takes (an
-    exclusive-or would keep elements that share leading bits together in every order). Explode and aggregate run in
-    generated code, and map-side combine leaves one row for each line to shuffle.
+    beyond the base plane: from UTF-32, and then written as UTF-16).
     """
     d = lines.select("h", "norm", F.encode("norm", "UTF-16BE").alias("u")).withColumn("w", F.when(F.octet_length("u") == 2 * F.length("norm"), 2).otherwise(4))
     d = d.select("h", "w", F.when(F.col("w") == 2, F.col("u")).otherwise(F.encode("norm", "UTF-32")).alias("u"))
     d = d.select("h", "w", "u", F.explode(F.expr(f"sequence(1, octet_length(u) - {shingle} * w + 1, w)")).alias("i"))
     part = f"CASE WHEN w = 2 THEN substring(u, i, {2 * shingle}) ELSE encode(decode(substring(u, i, {4 * shingle}), 'UTF-32'), 'UTF-16BE') END"
-    d = d.select("h", "i", F.expr(f"shiftrightunsigned(xxhash64({part}), 32)").alias("x"))
+    return d.select("h", "i", F.expr(f"xxhash64({part})").alias("x"))
+
+
+def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row for each line: h, size (distinct shingles), w0.. (which of 64 * WORDS bins hold an odd number of them).
+
+    A bin that is odd in one of two lines and even in the other holds a shingle of one of them alone, so the bins that
+    differ are at most the shingles that differ: see possible(). texts has one row for each line.
+    """
+    d = _hashed(texts.repartition("h"), shingle).select("h", "x").distinct()  # within a task, as the lines are dealt by h
+    d = d.select("h", F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1)).alias("of"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("bit"))
+    return d.groupBy("h").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("of") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
+
+
+def _sides(c: str) -> list[Column]:
+    """The columns of a sketch under names of their own."""
+    return [F.col(k).alias(c + k) for k in ("size", *[f"w{i}" for i in range(WORDS)])]
+
+
+def _differ(u: str, v: str) -> Column:
+    """In how many bins two sketches differ."""
+    return sum((F.bit_count(F.col(f"{u}w{k}").bitwiseXOR(F.col(f"{v}w{k}"))) for k in range(WORDS)), F.lit(0))
+
+
+def _far() -> Column:
+    return (_differ("u", "v") / F.expr("usize + vsize")).alias("far")
+
+
+def possible(u: str, v: str, least: float = LEAST) -> Column:
+    """Can two sketched lines be alike at all? Never false for a pair whose similarity is at least `least`.
+
+    Of sets a and b with a similarity of s, (1 - s) / (1 + s) * (|a| + |b|) elements are in one alone.
+    """
+    return _differ(u, v) <= F.lit((1 - least) / (1 + least) + 1e-9) * (F.col(f"{u}size") + F.col(f"{v}size"))
+
+
+def hopeful(pairs: DataFrame, sketched: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (u, v) that possible() leaves, with usize, vsize and far (the share of bins that differ)."""
+    of = lambda c: sketched.select(F.col("h").alias(c), *_sides(c))
+    return pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").where(possible("u", "v", least)).select("u", "v", "usize", "vsize", _far())
+
+
+def signatures(lines: DataFrame, shingle: int = SHINGLE, mins: int = MINS, seed: int = 42) -> DataFrame:
+    """One row for each distinct line: h, n (occurrences), m0.. (MinHash values over its character shingles).
+
+    A shingle is hashed once; the hash times an odd constant of each function, plus another, modulo 2^32, is the
+    order whose least element that function takes (an exclusive-or would keep elements that share leading bits
+    together in every order). Explode and aggregate run in generated code, and map-side combine leaves one row for
+    each line to shuffle.
+    """
+    d = _hashed(lines, shingle).withColumn("x", F.shiftrightunsigned("x", 32))
     rng = random.Random(seed)
     seeds = [(rng.getrandbits(30) | 1, rng.getrandbits(31)) for _ in range(mins)]  # the product stays under 2^63
     return d.groupBy("h").agg(F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).alias("n"), *[F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{k}") for k, (a, b) in enumerate(seeds)])
@@ -83,115 +131,133 @@ def _ordered_keys(signed: DataFrame, mins: int = MINS, rows: int = ROWS, rounds:
     return signed.select("h", F.explode(F.array(*each)).alias("k")).select("h", "k.key", "k.order")
 
 
-def candidates(signed: DataFrame, mins: int = MINS, rows: int = ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs (u, v), u < v, of lines that share a band, and how often (shared); crowded buckets (key).
+def candidates(signed: DataFrame, mins: int = MINS, rows: int = ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct candidate pairs (u, v), u < v, of lines that share a band, and how often (shared); crowded buckets (key);
+    their lines (key, h).
 
     A bucket of two gives its pair from the aggregate itself. In a larger one every line is paired with the least,
     with the leader, and with the line before it in the order of other MinHash values, so pairs grow with the bucket
     and not with its square. The leader is the line whose buckets are the fullest: that of which the others are
     variants, if they are variants of one. A very large bucket is sorted in several parts. A bucket of over two
-    lines may hold pairs beyond these: it is crowded, and near_components() takes it up.
+    lines may hold pairs beyond these: it is crowded, and across() takes it up. Keys are shuffled before they are
+    counted, for hardly any two of a task are alike.
     """
-    found = written(_keys(signed, mins, rows, rounds).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    pairs = found.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    found = written(_keys(signed, mins, rows, rounds).repartition("key").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("n > 1"), "buckets")
     large = found.where("n > 2").select("key", "lo", "n")
     many = large.count()
+    inside = written(_ordered_keys(signed, mins, rows, rounds).join(small(large, many), "key"), "inside")
+    crowds, pairs = inside.select("key", "h"), found.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     if many:
-        inside = written(_ordered_keys(signed, mins, rows, rounds).join(small(large, many), "key"), "inside")
         full = inside.groupBy("h").agg(F.sum("n").alias("full"))
         lead = inside.select("key", "h").join(small(full, full.count()), "h").groupBy("key").agg(F.max_by("h", F.struct("full", "h")).alias("lead"))
         inside = inside.join(small(lead, many), "key").withColumn("part", F.pmod(F.xxhash64(F.col("order")[0]), F.ceil(F.col("n") / BUCKET)))
         before = F.lag("h").over(Window.partitionBy("key", "part").orderBy(F.col("order"), "h"))
         inside = inside.withColumn("near", F.array("lo", "lead", before)).select("h", F.explode("near").alias("v")).where("v IS NOT NULL AND v != h")
         pairs = pairs.unionByName(inside.select(F.least("h", "v").alias("u"), F.greatest("h", "v").alias("v")))
-    return pairs.groupBy("u", "v").agg(F.count("*").alias("shared")), found.where("n > 2").select("key")
-
-
-def apart(crowds: DataFrame, roots: DataFrame) -> DataFrame:
-    """h, root: the lines (key, h) of those crowded buckets whose lines are not yet all in one component."""
-    inside = crowds.join(small(roots, roots.count()), F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("root"))
-    split = inside.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    return inside.join(small(split, split.count()), "key", "left_semi").select("h", "root").distinct()
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("shared")), large.select("key"), crowds
 
 
-def across(crowds: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def across(crowds: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST, sketched: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (u, v), u < v, of all lines that share a crowded bucket (key, h) and no component.
 
-    Only pairs go whose numbers of shingles differ by too much to reach `least`. A bucket is dealt out in parts of
-    lines that each meet the whole of it.
+    Only pairs go whose numbers of shingles differ by too much to reach `least` or, with the lines' sketches, which
+    these show to be unlike. In a bucket the lines beside its largest component meet all of its lines; they are dealt
+    out in parts that each meet the whole.
     """
     inside = crowds.join(small(roots, roots.count()), F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("root"))
-    split = inside.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / PART).alias("parts")).where("lo != hi").select("key", "parts")
-    sizes = texts.select("h", F.size(F.array_distinct(_cut("norm", shingle))).alias("s"))
+    main = inside.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+    split = main.where("main.n < n").select("key", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / PART).alias("parts"))
+    split = written(split, "apart")
+    sizes = texts.select("h", F.size(F.array_distinct(_cut("norm", shingle))).alias("size")) if sketched is None else sketched
+    more = [c for c in sizes.columns if c != "h"]
     inside = written(inside.join(small(split, split.count()), "key").join(sizes, "h"), "split")
-    a = inside.select("key", F.pmod(F.xxhash64("h"), "parts").alias("part"), F.col("h").alias("u"), F.col("root").alias("ur"), F.col("s").alias("us"))
-    b = inside.select("key", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("h").alias("v"), F.col("root").alias("vr"), F.col("s").alias("vs"))
-    alike = (F.col("us") >= F.lit(least) * F.col("vs")) & (F.col("vs") >= F.lit(least) * F.col("us"))
-    return a.join(b, ["key", "part"]).where(alike & F.expr("u < v AND ur != vr")).select("u", "v").distinct()
+    a = inside.where("root != main").select("key", F.pmod(F.xxhash64("h"), "parts").alias("part"), F.col("h").alias("u"), F.col("root").alias("ur"), *[F.col(c).alias(f"u{c}") for c in more])
+    b = inside.select("key", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("h").alias("v"), F.col("root").alias("vr"), (F.col("root") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"v{c}") for c in more])
+    alike = (F.col("usize") >= F.lit(least) * F.col("vsize")) & (F.col("vsize") >= F.lit(least) * F.col("usize")) if sketched is None else possible("u", "v", least)
+    met = a.join(b, ["key", "part"]).where(F.expr("ur != vr AND (in_main OR u < v)") & alike)
+    sizes = [] if sketched is None else [F.when(F.expr("u < v"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("usize", "vsize"), ("vsize", "usize"))]
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *sizes, *([] if sketched is None else [_far()])).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """The pairs whose exact Jaccard similarity of character shingles is at least `least`."""
+    """The pairs whose exact Jaccard similarity of character shingles is at least `least`.
+
+    With the numbers of distinct shingles (usize, vsize) beside a pair the union tells the rest.
+    """
+    sized = "usize" in pairs.columns
     of = lambda c: texts.select(F.col("h").alias(c), F.col("norm").alias(f"{c}t"))
-    both = pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").withColumn("us", _cut("ut", shingle)).withColumn("vs", _cut("vt", shingle))
-    both = both.select("u", "v", F.size(F.array_union("us", "vs")).alias("n"), F.size(F.array_intersect("us", "vs")).alias("common"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("us", _cut("ut", shingle)).withColumn("vs", _cut("vt", shingle))
+    if sized:
+        both = both.select("u", "v", (F.col("usize") + F.col("vsize")).alias("sum"), F.size(F.array_union("us", "vs")).alias("n")).withColumn("common", F.col("sum") - F.col("n"))
+    else:
+        both = both.select("u", "v", F.size(F.array_union("us", "vs")).alias("n"), F.size(F.array_intersect("us", "vs")).alias("common"))
     return both.where(F.col("common") >= F.lit(least) * F.col("n")).select("u", "v")
 
 
 def _unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose ends are not in one component yet."""
+    """The pairs (u, v) whose ends are not in one component yet, with these (u_root, v_root)."""
     n = roots.count()
     of = lambda c: small(roots.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root")), n)
-    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(u_root, u) != coalesce(v_root, v)").select("u", "v")
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.withColumns({f"{c}_root": F.coalesce(f"{c}_root", c) for c in ("u", "v")}).where("u_root != v_root")
 
 
-def _components(links: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after links between components (u_root, v_root): only these are a graph to be searched."""
     began = mark()
-    roots = written(connected_components(links), "roots")
-    keep_only(links.sparkSession, began, roots)
+    new = written(connected_components(links.select("u_root", "v_root"), "u_root", "v_root"), "merged")
+    to = small(new.select(F.col("node").alias("was"), F.col("component").alias("now")), new.count())
+    moved = roots.join(to, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = written(moved.unionByName(new.join(roots.select("node"), "node", "left_anti")), "roots")
+    keep_only(roots.sparkSession, began, out)
+    return out
+
+
+def _linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, few: int, shingle: int, least: float) -> DataFrame:
+    """roots after every pair of hopeful() has been compared or lies inside a component.
+
+    While there are more than `few`, every component's nearest pair is compared first, and what these join is left out.
+    """
+    spark, done = pairs.sparkSession, False
+    pairs = written(_unjoined(pairs, roots), "unjoined")
+    while not done:
+        n, began = pairs.count(), mark()
+        if not n:
+            break
+        done, turn = n <= few, pairs
+        if not done:
+            ends = pairs.select(F.explode(F.array("u_root", "v_root")).alias("root"), F.struct("far", "u", "v", "usize", "vsize", "u_root", "v_root").alias("pair"))
+            turn = written(ends.groupBy("root").agg(F.min("pair").alias("pair")).select("pair.*").distinct(), "nearest")
+            pairs = pairs.join(turn.select("u", "v"), ["u", "v"], "left_anti")
+        links = written(verified(turn, texts, shingle, least).join(turn.select("u", "v", "u_root", "v_root"), ["u", "v"]), "verified")
+        roots = _merged(roots, links) if links.count() else roots
+        if not done:
+            pairs = written(_unjoined(pairs.drop("u_root", "v_root"), roots), "unjoined")
+        keep_only(spark, began, roots, pairs)
     return roots
 
 
 def near_components(signed: DataFrame, lines: DataFrame, shingle: int = SHINGLE, least: float = LEAST, spent: list[str] | None = None) -> DataFrame:
     """Components of the lines under the verified pairs of all that share a band: node, component.
 
-    Of each line's pairs the one with most buckets in common is verified first; of the others only those whose
-    ends these have not joined yet, for a pair inside a component changes nothing. The lines of crowded buckets that
-    are still in several components are signed anew, with other and finer bands, until a whole round adds next to
-    nothing to the links; what these rounds leave in several components is compared pair by pair. spent: scratch tables that nothing reads once the texts of lines with candidates are stored.
+    The pairs of candidates() come first, then all others of the crowded buckets whose ends these have not joined, for
+    a pair inside a component changes nothing. Pairs that their sketches show to be unlike are not compared by their
+    texts. spent: scratch tables that nothing reads once the texts of lines with candidates are stored.
     """
     spark = lines.sparkSession
-    pairs, crowded = candidates(signed)
+    pairs, _, crowds = candidates(signed)
     pairs = written(pairs, "pairs")
     free_shuffles(spark)
     named = written(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "named")
-    texts = written(lines.select("h", "norm").join(small(named, named.count()), "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm")), "texts")
+    n = named.count()
+    texts = written(lines.select("h", "norm").join(small(named, n), "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm")), "texts")
     release(spark, spent or [])
-    best = pairs.groupBy("v").agg(F.max(F.struct("shared", F.col("u"))).alias("best")).select(F.col("best.u").alias("u"), "v")
-    links = written(verified(best, texts, shingle, least), "verified")
-    roots = _components(links)
-    rest = _unjoined(pairs, roots).join(best, ["u", "v"], "left_anti")
-    links = written(links.unionByName(verified(rest, texts, shingle, least)), "verified")
-    roots = _components(links)
-    crowds = written(_keys(signed).join(small(crowded, crowded.count()), "key").select("key", "h"), "crowds")
-    seen, turn, left = pairs.select("u", "v"), 0, written(apart(crowds, roots).join(texts, "h"), "apart")
-    found = crowded_left = left.count()
-    while found and found >= LITTLE * links.count():
-        turn, began = turn + 1, mark()
-        again = written(signatures(left, shingle, AGAIN_MINS, 42 + turn), "signed")
-        pairs = written(_unjoined(candidates(again, AGAIN_MINS, AGAIN_ROWS)[0], roots).join(seen, ["u", "v"], "left_anti"), "pairs")
-        more = written(verified(pairs, texts, shingle, least), "verified")
-        found = more.count()
-        seen, links = seen.unionByName(pairs), links.unionByName(more)
-        del again
-        keep_only(spark, began, pairs, more)
-        free_shuffles(spark)
-    roots = _components(links) if turn else roots
-    if crowded_left:
-        rest = written(across(crowds, roots, texts, shingle, least).join(seen, ["u", "v"], "left_anti"), "pairs")
-        more = written(verified(rest, texts, shingle, least), "verified")
-        roots = _components(links.unionByName(more)) if more.count() else roots
-    return roots
+    sketched, few = written(sketches(texts, shingle), "sketches"), max(FEW, n // 2)
+    roots = written(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0), "roots")
+    roots = _linked(written(hopeful(pairs, sketched, least), "hopeful"), roots, texts, few, shingle, least)
+    rest = written(across(crowds, roots, texts, shingle, least, sketched), "across")
+    free_shuffles(spark)
+    return _linked(rest, roots, texts, few, shingle, least)
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:

@@ -104,3 +104,54 @@ def test_a_bucket_of_three_is_crowded(spark):
     m = [[1] * lines.MINS, [1] * lines.MINS, [1] * lines.MINS]
     signed = spark.createDataFrame([(h, 1, *x) for h, x in enumerate(m)], "h long, n long, " + ", ".join(f"m{k} long" for k in range(lines.MINS)))
     assert lines.candidates(signed)[1].count() == len(lines.bands())
+
+
+def test_sketches_part_unlike_lines_and_no_alike_ones(spark):
+    """Pairs at every similarity: none of at least 0.8 is held to be unlike by its sketches, nearly all below 0.6 are."""
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, alike, unlike = [], set(), set()
+    for i in range(0, 800, 2):
+        a = "ab" * 30 if i < 20 else text(r.choice([20, 60, 250, 900]))
+        keep = len(a) * r.randrange(50, 101) // 100
+        b = a[:keep] + text(len(a) - keep)
+        s, t = ({x[k : k + 8] for k in range(len(x) - 7)} for x in (a, b))
+        j = len(s & t) / len(s | t)
+        rows += [(i, a), (i + 1, b)]
+        alike |= {i} if j >= 0.8 else set()
+        unlike |= {i} if j < 0.6 else set()
+    d = spark.createDataFrame(rows, "h long, norm string")
+    pairs = d.where("h % 2 = 0").select(F.col("h").alias("u"), (F.col("h") + 1).alias("v"))
+    got = {x["u"] for x in lines.hopeful(pairs, lines.sketches(d)).collect()}
+    assert len(alike) > 50 and alike <= got and len(unlike) > 50 and len(unlike & got) <= 0.05 * len(unlike)
+
+
+def test_a_crowded_bucket_makes_no_rows_for_unlike_lines(spark):
+    """Lines of one bucket that are unlike are parted in the join; of alike ones every pair between components stays."""
+    r = random.Random(13)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = [text(120) for _ in range(60)]
+    rows = [(3 * i + k, a if k == 0 else a[:-2] + text(2)) for i, a in enumerate(base) for k in range(3)]
+    d = spark.createDataFrame(rows, "h long, norm string")
+    crowds = d.select(F.lit(1).cast("long").alias("key"), "h")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (4, 3), (3, 3)], "node long, component long")
+    got = {(x["u"], x["v"]) for x in lines.across(crowds, roots, d, sketched=lines.sketches(d)).collect()}
+    assert got == {(3 * i + a, 3 * i + b) for i in range(60) for a, b in ((0, 1), (0, 2), (1, 2))} - {(0, 1), (3, 4)}
+
+
+def test_nearest_pairs_first_lose_no_link(spark):
+    """A chain whose every line is like the next alone is one component, compared at once or the nearest pairs first."""
+    r = random.Random(14)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    chain = [text(200)]
+    for i in range(39):
+        at = 8 * (i % 24)
+        chain.append(chain[-1][:at] + text(8) + chain[-1][at + 8 :])
+    rows = list(enumerate(chain)) + [(100 + i, text(200)) for i in range(20)]
+    d = spark.createDataFrame(rows, "h long, norm string")
+    crowds = d.select(F.lit(1).cast("long").alias("key"), "h")
+    none = spark.createDataFrame([], "node long, component long")
+    pairs = lines.across(crowds, none, d, sketched=lines.sketches(d))
+    for few in (5, 100_000):
+        got = {x["node"]: x["component"] for x in lines._linked(pairs, none, d, few, 8, 0.8).collect()}
+        assert got == {i: 0 for i in range(40)}
