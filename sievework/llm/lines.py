@@ -46,17 +46,16 @@ def _cut(norm: Column | str, shingle: int) -> Column:
     return F.regexp_extract_all(norm, F.lit(f"(?s)(?=([^\\x{{DC00}}-\\x{{DFFF}}].{{{shingle - 1}}}))"), F.lit(1))
 
 
-def _hashed(lines: DataFrame, shingle: int) -> DataFrame:
-    """One row for each shingle of a line: h, i (1 for the first), x (its hash).
+def _placed(lines: DataFrame, shingle: int) -> tuple[DataFrame, str, str]:
+    """h, w and u of each line, the places of its shingles and the hash of the one at place i, as SQL.
 
     A shingle is read from the UTF-16 form of the line, where each starts at a known byte (lines with characters
     beyond the base plane: from UTF-32, and then written as UTF-16).
     """
     d = lines.select("h", "norm", F.encode("norm", "UTF-16BE").alias("u")).withColumn("w", F.when(F.octet_length("u") == 2 * F.length("norm"), 2).otherwise(4))
     d = d.select("h", "w", F.when(F.col("w") == 2, F.col("u")).otherwise(F.encode("norm", "UTF-32")).alias("u"))
-    d = d.select("h", "w", "u", F.explode(F.expr(f"sequence(1, octet_length(u) - {shingle} * w + 1, w)")).alias("i"))
     part = f"CASE WHEN w = 2 THEN substring(u, i, {2 * shingle}) ELSE encode(decode(substring(u, i, {4 * shingle}), 'UTF-32'), 'UTF-16BE') END"
-    return d.select("h", "i", F.expr(f"xxhash64({part})").alias("x"))
+    return d, f"sequence(1, octet_length(u) - {shingle} * w + 1, w)", f"xxhash64({part})"
 
 
 def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -65,7 +64,8 @@ def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     A bin that is odd in one of two lines and even in the other holds a shingle of one of them alone, so the bins that
     differ are at most the shingles that differ: see possible(). texts has one row for each line.
     """
-    d = _hashed(texts.repartition("h"), shingle).select("h", "x").distinct()  # within a task, as the lines are dealt by h
+    d, places, x = _placed(texts, shingle)
+    d = d.select("h", F.explode(F.expr(f"array_distinct(transform({places}, i -> {x}))")).alias("x"))
     d = d.select("h", F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1)).alias("of"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("bit"))
     return d.groupBy("h").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("of") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
 
@@ -106,7 +106,8 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, mins: int = MINS, seed:
     together in every order). Explode and aggregate run in generated code, and map-side combine leaves one row for
     each line to shuffle.
     """
-    d = _hashed(lines, shingle).withColumn("x", F.shiftrightunsigned("x", 32))
+    d, places, x = _placed(lines, shingle)
+    d = d.select("h", "w", "u", F.explode(F.expr(places)).alias("i")).select("h", "i", F.expr(f"shiftrightunsigned({x}, 32)").alias("x"))
     rng = random.Random(seed)
     seeds = [(rng.getrandbits(30) | 1, rng.getrandbits(31)) for _ in range(mins)]  # the product stays under 2^63
     return d.groupBy("h").agg(F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).alias("n"), *[F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{k}") for k, (a, b) in enumerate(seeds)])
