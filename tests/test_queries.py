@@ -93,3 +93,12 @@ def test_systematic_sample_of_many_partitions(spark, tmp_path):
         for k, v in keep.items():
             spark.conf.set(k, v)
     assert mine == theirs
+
+
+def test_hard_filter_of_letters_that_sql_does_not_know(spark, tmp_path):
+    """A character beyond Latin-1 beside a word is no letter to the SQL, and a line it does not know as one goes on."""
+    odd = ["chr(8551)", "chr(170)", "chr(181)", "chr(1635)", "chr(7838)", "chr(20013)", "chr(133)", "chr(8232)", "chr(13)", "chr(160)", "'x'"]
+    texts = ["'5+ years of experience' || {0} || 'no'", "'3 years' || {0} || 'of experience'", "'votre mission' || {0} || ' technicien' || {0}", "'ITAR' || {0} || 'unpaid'"]
+    made = " UNION ALL ".join(f"SELECT {n} AS doc_id, {t.format(c)} AS text, 'a' AS source" for n, (t, c) in enumerate((t, c) for t in texts for c in odd for _ in range(8)))
+    mine, theirs = _against_sql(spark, tmp_path, "hard_filter_reasons", documents=made)
+    assert mine == theirs
