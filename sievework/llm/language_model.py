@@ -24,6 +24,9 @@ from sievework.session import text_batches, written
 SAMPLE, KNOWN, HEAD, CLASS, CLUSTERS, WIDTH, STREAMS, STEPS, EPOCHS, SLOTS, WINDOW, CHARS = 1500, 131_072, 992, 32, 16, 16, 64, 20, 5, 1024, 64, 6_000_000
 #: The share of all training rows that the network then learns from; tokens a shard; step; streams and tokens at a time.
 SHARE, SHARD, RATE, WIDE, CHUNK = 1, 2_000_000, 0.0007, 128, 1_000_000
+#: Distinct words that a worker counts, or remembers the codes of, before it lets go of them, about; rows of states
+#: whose probabilities are taken at a time.
+HELD, ROWS = 200_000, 8192
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = ""  # no word is empty
 LN10 = float(np.log(10))
@@ -34,21 +37,51 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "replace").lower())
 
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word, c over all rows, the end of each text being the empty word: summed by batch, then by word."""
+def counts(docs: DataFrame, text: str = "text", held: int = HELD) -> DataFrame:
+    """word, c over all rows, the end of each text being the empty word: summed by some `held` words, then by word."""
+
+    def rows(seen: Counter, ends: int) -> pd.DataFrame:
+        return pd.DataFrame({"word": [END, *[w.decode("utf-8", "replace") for w in seen]], "n": [ends, *seen.values()]})
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        ends = 0
         for part in parts:
-            seen: Counter = Counter()
             for t in part["_text"]:
                 seen.update(words_of(t))
-            yield pd.DataFrame({"word": [END, *[w.decode("utf-8", "replace") for w in seen]], "n": [len(part), *seen.values()]})
+            ends += len(part)
+            if len(seen) > held:
+                yield rows(seen, ends)
+                seen, ends = Counter(), 0
+        yield rows(seen, ends)
 
     return docs.select(F.col(text).alias("_text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
 
 
+def _order(x: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of numbers from 0 to most; sorting is linear where 16 bits hold them."""
+    return np.argsort(x.astype(np.int16) if most < 1 << 15 else x, kind="stable")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+class _Codes(dict):
+    """The codes of the known words and of the others seen last."""
+
+    def __init__(self, lex: Lexicon):
+        super().__init__(lex.index)
+        self.lex = lex
+
+    def __missing__(self, w: bytes) -> int:
+        code = self[w] = -1 - self.lex.cluster(w)
+        return code
 
 
 @dataclass
@@ -66,6 +99,7 @@ class Lexicon:
     def __post_init__(self):
         self.n_class = (int(self.word_class.max()) + 1) if self.heads else 0
         self.memo: dict[tuple[bytes, bytes], int] = {}
+        self.codes = _Codes(self)
 
     def cluster(self, w: bytes) -> int:
         key = (w[:2], w[-2:])
@@ -79,8 +113,16 @@ class Lexicon:
 
     def code(self, words: list[bytes]) -> np.ndarray:
         """The index of each known word, -1 - cluster of any other."""
-        get, cluster = self.index.get, self.cluster
-        return np.array([i if (i := get(w)) is not None else -1 - cluster(w) for w in words], np.int32)
+        if len(self.codes) > len(self.index) + HELD:
+            self.codes = _Codes(self)
+        return np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "codes"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.codes = _Codes(self)
 
 
 def lexicon(texts: list[list[bytes]], known: list[tuple[str, int]], heads: int = HEAD, clusters: int = CLUSTERS, seed: int = 5) -> Lexicon:
@@ -147,80 +189,122 @@ class Network:
         """One step from the input part of the gates: the new state and what the way back needs."""
         d = self.d
         gh = h @ self.p["u"]
-        zr = _sigmoid(gx[:, : 2 * d] + gh[:, : 2 * d])
+        zr = _sigmoid(gh[:, : 2 * d] + gx[:, : 2 * d])
         z, r = zr[:, :d], zr[:, d:]
         m = gh[:, 2 * d :] + self.p["c"]
-        n = np.tanh(gx[:, 2 * d :] + r * m)
-        return n + z * (h - n), z, r, m, n
+        n = r * m
+        n += gx[:, 2 * d :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, m, n
 
     def log_probabilities(self, h: np.ndarray, cls: np.ndarray, slot: np.ndarray, want_grad: bool = False):
-        """ln P(class) plus, for head classes, ln P(word | class); and the gradients of their sum if asked for."""
+        """ln P(class) plus, for head classes, ln P(word | class); and the gradients of their sum if asked for.
+
+        Rows are taken in the order of their classes, so that each head class is one run of them.
+        """
         p, rows = self.p, np.arange(len(h))
-        logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
-        out = logits[rows, cls] - np.log(s)
+        order = _order(cls, len(p["bc"]))
+        h, cls, slot = h[order], cls[order], slot[order]
+        ends = np.searchsorted(cls, np.arange(self.head_classes + 1))
+        runs = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if b > a]
+
+        def softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """ln P of what is at each row's place; x becomes the gradient."""
+            i = rows[: len(x)]
+            x -= x.max(axis=1, keepdims=True)
+            own = x[i, at]
+            np.exp(x, out=x)
+            s = x.sum(axis=1)
+            if want_grad:
+                x *= (-1 / s)[:, None]
+                x[i, at] += 1
+            return own - np.log(s)
+
+        x = h @ p["wc"]
+        x += p["bc"]
+        out = softmax(x, cls)
         grad, dh = {}, None
         if want_grad:
-            g = -e / s[:, None]
-            g[rows, cls] += 1
-            grad["wc"], grad["bc"], dh = h.T @ g, g.sum(axis=0), g @ p["wc"].T
+            grad["wc"], grad["bc"], dh = h.T @ x, x.sum(axis=0), x @ p["wc"].T
             grad["wv"], grad["bv"] = np.zeros_like(p["wv"]), np.zeros_like(p["bv"])
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.head_classes + 1))
-        for k in range(self.head_classes):
-            i = order[ends[k] : ends[k + 1]]
-            if len(i):
-                x = h[i] @ p["wv"][k] + p["bv"][k]
-                x -= x.max(axis=1, keepdims=True)
-                e = np.exp(x)
-                s = e.sum(axis=1)
-                out[i] += x[np.arange(len(i)), slot[i]] - np.log(s)
-                if want_grad:
-                    g = -e / s[:, None]
-                    g[np.arange(len(i)), slot[i]] += 1
-                    grad["wv"][k], grad["bv"][k] = h[i].T @ g, g.sum(axis=0)
-                    dh[i] += g @ p["wv"][k].T
-        return (out, grad, dh) if want_grad else out
+        n = int(ends[-1])
+        x = np.empty((n, CLASS), h.dtype)
+        for k, run in runs:
+            np.matmul(h[run], p["wv"][k], out=x[run])
+            x[run] += p["bv"][k]
+        if n:
+            out[:n] += softmax(x, slot[:n])
+        back = np.empty_like(out)
+        back[order] = out
+        if not want_grad:
+            return back
+        for k, run in runs:
+            np.matmul(h[run].T, x[run], out=grad["wv"][k])
+            x[run].sum(axis=0, out=grad["bv"][k])
+            dh[run] += x[run] @ p["wv"][k].T
+        whole = np.empty_like(dh)
+        whole[order] = dh
+        return back, grad, whole
 
     def window(self, inp: np.ndarray, fresh: np.ndarray, cls: np.ndarray, slot: np.ndarray, weight: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Truncated backpropagation through one window (steps x streams): sum of ln P, its gradients, last state."""
+        """Truncated backpropagation through one window (steps x streams): sum of ln P, its gradients, last state.
+
+        A symbol's part of the gates is the same wherever it stands: it is made once for each symbol of the window,
+        and on the way back its gradients are summed before they pass through the weights.
+        """
         p, d = self.p, self.d
         steps, streams = inp.shape
-        x = p["emb"][inp]
-        gx = x @ p["w"] + p["b"]
-        kept, made = [], []
+        flat = inp.ravel()
+        order = _order(flat, len(p["emb"]))
+        ordered = flat[order]
+        starts = np.nonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[0]
+        symbols, which = ordered[starts], np.empty(len(flat), np.int64)
+        which[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
+        emb = p["emb"][symbols]
+        gx = (emb @ p["w"] + p["b"])[which].reshape(steps, streams, 3 * d)
+        h0, z, r, m, n, hs = (np.empty((steps, streams, d), gx.dtype) for _ in range(6))
+        anew = fresh.any(axis=1)
         for t in range(steps):
-            h = np.where(fresh[t][:, None], 0, h)
-            new, z, r, m, n = self.step(gx[t], h)
-            kept.append((h, z, r, m, n))
-            made.append(new)  # what predicts is read before a new document drops it
-            h = new
-        hs = np.concatenate(made)
+            if anew[t]:
+                h = np.where(fresh[t][:, None], 0, h)
+            h0[t] = h
+            h, z[t], r[t], m[t], n[t] = self.step(gx[t], h)
+            hs[t] = h  # what predicts is read before a new document drops it
         live = np.nonzero(weight.ravel())[0]
-        out, grad, dhl = self.log_probabilities(hs[live], cls.ravel()[live], slot.ravel()[live], True)
-        dhs = np.zeros_like(hs)
-        dhs[live] = dhl
+        every = len(live) == len(flat)
+        hs = hs.reshape(-1, d)
+        out, grad, dhs = self.log_probabilities(hs if every else hs[live], cls.ravel()[live], slot.ravel()[live], True)
+        if not every:
+            hs[:] = 0
+            hs[live] = dhs
+            dhs = hs
         dhs = dhs.reshape(steps, streams, d)
-        grad |= {k: np.zeros_like(p[k]) for k in ("emb", "w", "u", "b", "c")}
-        dh, dgx = np.zeros((streams, d), np.float32), np.zeros_like(gx)
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), m * r * (1 - r)
+        dh, dgx, dgh = np.zeros((streams, d), gx.dtype), np.empty_like(gx), np.empty_like(gx)
+        ut = np.ascontiguousarray(p["u"].T)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, m, n = kept[t]
-            dh = dh + dhs[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * m * r * (1 - r)
-            dgx[t] = np.concatenate((dz, dr, dn), axis=1)
-            dgh = np.concatenate((dz, dr, dn * r), axis=1)
-            grad["u"] += h0.T @ dgh
-            grad["c"] += (dn * r).sum(axis=0)
-            dh = dh * z + dgh @ p["u"].T
-            dh = np.where(fresh[t][:, None], 0, dh)
-        flat = dgx.reshape(-1, 3 * d)
-        grad["b"] = flat.sum(axis=0)
-        grad["w"] = x.reshape(-1, d).T @ flat
-        np.add.at(grad["emb"], inp.ravel(), flat @ p["w"].T)
+            dh += dhs[t]
+            dn = dgx[t, :, 2 * d :]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dh, by_z[t], out=dgh[t, :, :d])
+            np.multiply(dn, by_r[t], out=dgh[t, :, d : 2 * d])
+            np.multiply(dn, r[t], out=dgh[t, :, 2 * d :])
+            dh *= z[t]
+            dh += dgh[t] @ ut
+            if anew[t]:
+                dh[fresh[t]] = 0
+        dgx[:, :, : 2 * d] = dgh[:, :, : 2 * d]
+        dgh = dgh.reshape(-1, 3 * d)
+        grad["u"] = h0.reshape(-1, d).T @ dgh
+        grad["c"] = dgh[:, 2 * d :].sum(axis=0)
+        each = np.add.reduceat(dgx.reshape(-1, 3 * d)[order], starts, axis=0)
+        grad["b"] = each.sum(axis=0)
+        grad["w"] = emb.T @ each
+        grad["emb"] = np.zeros_like(p["emb"])
+        grad["emb"][symbols] = each @ p["w"].T
         return float(out.sum()), grad, h
 
 
@@ -277,43 +361,39 @@ class Model:
         held = slots_of(lengths, SLOTS)
         total = np.zeros(len(codes))
         end = int(self.arrays(np.array([self.lex.index.get(b"", -1)]))[0][0])
-        streams = []
-        for docs in held:
-            code = np.concatenate([codes[i] for i in docs]) if docs else np.zeros(0, np.int64)
-            symbol, cls, slot = self.arrays(code)
-            head = (code >= 0) & (code < self.lex.heads)
-            add = np.where(head, 0.0, np.where(code >= 0, self.log_count[np.maximum(code, 0)], 0.0) - self.log_mass[np.where(head, 0, cls - self.lex.n_class)])
-            owner = np.repeat(np.array(docs, np.int64), lengths[docs])
-            fresh = np.zeros(len(code), bool)
-            fresh[np.concatenate(([0], np.cumsum(lengths[docs])[:-1])).astype(int)] = True
-            total += np.bincount(owner, add, minlength=len(codes))
-            before = np.concatenate(([end], symbol[:-1]))
-            before[fresh] = end
-            streams.append((before, cls, slot, fresh, owner))
-        sizes = np.array([len(s[0]) for s in streams])
-        h = np.zeros((len(streams), net.d), np.float32)
+        docs = np.array([i for s in held for i in s], np.int64)
+        code = np.concatenate([codes[i] for i in docs])  # stream after stream
+        symbol, cls, slot = self.arrays(code)
+        head = (code >= 0) & (code < self.lex.heads)
+        add = np.where(head, 0.0, np.where(code >= 0, self.log_count[np.maximum(code, 0)] if len(self.log_count) else 0.0, 0.0) - self.log_mass[np.where(head, 0, cls - self.lex.n_class)])
+        owner = np.repeat(docs, lengths[docs])
+        total += np.bincount(owner, add, minlength=len(codes))
+        fresh = np.zeros(len(code), bool)
+        fresh[np.cumsum(lengths[docs]) - lengths[docs]] = True
+        before = np.concatenate(([end], symbol[:-1]))
+        before[fresh] = end
+        sizes = np.array([int(lengths[s].sum()) for s in held])
+        starts = np.cumsum(sizes) - sizes
+        h = np.zeros((len(held), net.d), np.float32)
         for at in range(0, int(sizes.max()), WINDOW):
             live = int((sizes > at).sum())
             n = np.minimum(sizes[:live] - at, WINDOW)
             steps = int(n.max())
-            inp, fresh = np.zeros((steps, live), np.int64), np.zeros((steps, live), bool)
-            mask = np.zeros((steps, live), bool)
-            for s in range(live):
-                part = slice(at, at + int(n[s]))
-                inp[: n[s], s], fresh[: n[s], s], mask[: n[s], s] = streams[s][0][part], streams[s][3][part], True
+            mask = np.arange(steps)[:, None] < n
+            where = np.where(mask, starts[:live] + at + np.arange(steps)[:, None], 0)
+            inp, anew = before[where], fresh[where] & mask
+            some = anew.any(axis=1)
             hs = np.empty((steps, live, net.d), np.float32)
             state = h[:live]
             for t in range(steps):
-                if fresh[t].any():
-                    state = np.where(fresh[t][:, None], 0, state)
-                state = net.step(table[inp[t]], state)[0]
-                hs[t] = state
+                if some[t]:
+                    state = np.where(anew[t][:, None], 0, state)
+                state = hs[t] = net.step(table.take(inp[t], axis=0), state)[0]
             h = state
-            by_stream = mask.T
-            flat = hs.transpose(1, 0, 2)[by_stream]
-            cut = [slice(at, at + int(n[s])) for s in range(live)]
-            cls, slot, owner = (np.concatenate([streams[s][k][cut[s]] for s in range(live)]) for k in (1, 2, 4))
-            total += np.bincount(owner, net.log_probabilities(flat, cls, slot) / LN10, minlength=len(codes))
+            flat, where = (hs.reshape(-1, net.d), where.ravel()) if mask.all() else (hs[mask], where[mask])
+            for a in range(0, len(flat), ROWS):
+                i = where[a : a + ROWS]
+                total += np.bincount(owner[i], net.log_probabilities(flat[a : a + ROWS], cls[i], slot[i]) / LN10, minlength=len(codes))
         return total
 
 
@@ -326,13 +406,22 @@ class Adam:
 
     def step(self, grad: dict, n: int, rate: float) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values())) / n
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())) / n
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / n
         for k, g in grad.items():
-            g = g * scale
-            self.m1[k] = 0.9 * self.m1[k] + 0.1 * g
-            self.m2[k] = 0.999 * self.m2[k] + 0.001 * g * g
-            self.net.p[k] += (rate * (self.m1[k] / (1 - 0.9**self.t)) / (np.sqrt(self.m2[k] / (1 - 0.999**self.t)) + 1e-6)).astype(np.float32)
+            m1, m2 = self.m1[k], self.m2[k]
+            g *= scale
+            m1 *= 0.9
+            m1 += 0.1 * g
+            g *= g
+            g *= 0.001
+            m2 *= 0.999
+            m2 += g
+            g = np.sqrt(m2 / (1 - 0.999**self.t), out=g)
+            g += 1e-6
+            np.divide(m1, g, out=g)
+            g *= rate / (1 - 0.9**self.t)
+            self.net.p[k] += g
 
 
 def epoch(model: Model, codes: list[np.ndarray], adam: Adam, rate: float, streams: int) -> None:
@@ -401,7 +490,8 @@ def refine(learn: DataFrame, model: Model, tokens: int, share: float = SHARE, sh
     names = list(model.net.p)
 
     def pass_over(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = copy.deepcopy(shared.value)
+        m = copy.copy(shared.value)
+        m.net = copy.deepcopy(m.net)
         adam, seen, held, size = Adam(m.net), 0, [], 0
         end = m.lex.index.get(b"", 0)
 

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import pickle
 import random
 import zlib
 
@@ -394,3 +395,39 @@ def test_pipeline(spark, tmp_path):
 
 def test_every_query_is_there():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+
+
+def test_words_are_counted_across_batches(spark):
+    """Counts are the same however many words a worker holds, and codes that it remembers do not travel with the lexicon."""
+    rows = [(i, f"a b{i % 7} c{i}") for i in range(300)] + [(300, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    from collections import Counter
+
+    want = Counter(w.decode() for _, t in rows for w in [*language_model.words_of(t), b""])
+    for held in (0, 10, 1_000_000):
+        assert {r["word"]: r["c"] for r in language_model.counts(d, held=held).collect()} == dict(want)
+    lex = language_model.lexicon([[b"a", b"b"]] * 5, [("", 5), ("a", 5), ("b", 5)], clusters=2)
+    before = lex.code([b"a", b"new", b"", b"new"]).tolist()
+    again = pickle.loads(pickle.dumps(lex))
+    assert len(again.codes) == 3 < len(lex.codes) and again.code([b"a", b"new", b"", b"new"]).tolist() == before
+
+
+def test_symbols_pass_the_weights_once():
+    """Gradients of a window with repeated symbols, dead places and fresh texts are those of each place by itself."""
+    r = np.random.default_rng(8)
+    net = language_model.Network(9, 6, 3, width=5)
+    for v in net.p.values():
+        v[...] = r.normal(0, 0.3, v.shape)
+    inp, cls, slot = r.integers(0, 3, (6, 8)), r.integers(0, 6, (6, 8)), r.integers(0, language_model.CLASS, (6, 8))
+    fresh, weight = r.random((6, 8)) < 0.3, r.random((6, 8)) < 0.8
+    h = r.normal(0, 0.5, (8, 5)).astype(np.float32)
+    total, grad, last = net.window(inp, fresh, cls, slot, weight, h)
+    parts = [net.window(inp[:, [s]], fresh[:, [s]], cls[:, [s]], slot[:, [s]], weight[:, [s]], h[[s]]) for s in range(8)]
+    assert abs(total - sum(x[0] for x in parts)) < 1e-3 and np.allclose(last, np.concatenate([x[2] for x in parts]), atol=1e-5)
+    assert all(np.allclose(g, sum(x[1][k] for x in parts), atol=1e-4) for k, g in grad.items())
+    adam, was = language_model.Adam(net), {k: v.copy() for k, v in net.p.items()}
+    adam.step({k: v.copy() for k, v in grad.items()}, 10, 0.01)
+    n = sum(float((g**2).sum()) for g in grad.values()) ** 0.5 / 10
+    for k, g in grad.items():
+        g = g * min(1, 1 / n) / 10
+        assert np.allclose(net.p[k] - was[k], 0.01 * g / (np.abs(g) + 1e-6), atol=2e-4)
