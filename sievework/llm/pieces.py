@@ -63,6 +63,7 @@ class Vocabulary:
         self.words = self._boundaries()
         #: score of each piece, none for what only begins one
         self.arc = {p: self.score.get(p) for p in prefix}
+        self.tree = self._tree(prefix)
         #: score of each id: a character without a piece costs once, at its first byte
         self.by_id = np.zeros(len(self.piece))
         self.by_id[list(self.id.values())] = [self.score[p] for p in self.id]
@@ -72,6 +73,14 @@ class Vocabulary:
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.memo: dict[str, bytes] = {}
 
+    def _tree(self, prefix: set[str]) -> dict:
+        """The pieces by their characters: each leads to the score of what it ends, if any, and to what may follow."""
+        none: dict = {}
+        inner = {p[:-1]: {} for p in prefix}
+        for p in prefix:
+            inner[p[:-1]][p[-1]] = (self.score.get(p), inner.get(p, none))
+        return inner.get("", none)
+
     def _boundaries(self) -> re.Pattern:
         """A pattern whose matches no piece crosses: spaces and a run of letters, or of other characters.
 
@@ -132,23 +141,25 @@ class Vocabulary:
         return cuts[::-1]
 
     def word(self, w: str) -> bytes:
-        n, get, longest, unknown = len(w), self.arc.get, self.longest, self.unknown
+        n, get, unknown = len(w), self.tree.get, self.unknown
         best, back = [NONE] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        for i in range(n):
-            b, s = best[i], get(w[i], 0)
-            c = b + (s or unknown)
-            if c > best[i + 1]:
-                best[i + 1], back[i + 1] = c, i
-            if s == 0:  # no piece begins so
+        for i, c in enumerate(w):
+            b, got, j = best[i], get(c), i + 1
+            s, rest = got or (None, None)
+            s = b + (s or unknown)
+            if s > best[j]:
+                best[j], back[j] = s, i
+            if not rest:  # no longer piece begins so
                 continue
-            for j in range(i + 2, (i + longest if i + longest < n else n) + 1):
-                s = get(w[i:j], 0)
-                if s:
-                    if b + s > best[j]:
-                        best[j], back[j] = b + s, i
-                elif s == 0:
+            for c in w[j:]:
+                got = rest.get(c)
+                if got is None:
                     break
+                s, rest = got
+                j += 1
+                if s is not None and b + s > best[j]:
+                    best[j], back[j] = b + s, i
         cuts, j = [n], n
         while j:
             j = back[j]

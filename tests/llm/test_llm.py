@@ -431,3 +431,18 @@ def test_symbols_pass_the_weights_once():
     for k, g in grad.items():
         g = g * min(1, 1 / n) / 10
         assert np.allclose(net.p[k] - was[k], 0.01 * g / (np.abs(g) + 1e-6), atol=2e-4)
+
+
+def test_words_by_the_tree_of_pieces():
+    """The tree holds each prefix of a piece once and its score; words get the ids that the lattice by slices gives them."""
+    v = pieces.Vocabulary(vocabulary("piece_bpe_32k.model"))
+    seen, todo = {}, [("", v.tree)]
+    while todo:
+        head, node = todo.pop()
+        for c, (s, rest) in node.items():
+            seen[head + c] = s
+            todo.append((head + c, rest))
+    assert seen == v.arc
+    r = random.Random(15)
+    words = ["", "▁", "▁the", "😀", "▁a😀b"] + ["▁" * r.randrange(2) + "".join(r.choice("etaoinshrdlu0=中é_") for _ in range(r.randrange(1, 60))) for _ in range(3000)]
+    assert all(v.word(w) == v.ids(w, v.trace(w, 0, len(w))) for w in words)
