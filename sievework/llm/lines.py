@@ -11,6 +11,8 @@ from sievework.llm.components import connected_components
 from sievework.session import free_shuffles, keep_only, made_since, mark, release, written
 
 SHINGLE, LEAST, MINS, ROWS, ROUNDS = 8, 0.8, 20, 4, 3
+#: Shingles of a line that are hashed side by side.
+RUN = 16
 #: Longs of 64 bits in the sketch of a line, a power of two.
 WORDS = 16
 #: So many pairs are compared at once; of more (and more than half the lines) each component's nearest pair first.
@@ -46,26 +48,43 @@ def _cut(norm: Column | str, shingle: int) -> Column:
     return F.regexp_extract_all(norm, F.lit(f"(?s)(?=([^\\x{{DC00}}-\\x{{DFFF}}].{{{shingle - 1}}}))"), F.lit(1))
 
 
-def _placed(lines: DataFrame, shingle: int) -> tuple[DataFrame, str, str]:
-    """h, w and u of each line, the places of its shingles and the hash of the one at place i, as SQL.
+def _placed(lines: DataFrame, shingle: int, *more: str) -> tuple[DataFrame, str, str]:
+    """h, w and u of each line (and more columns), the places of its shingles and the hash of the one at place i, as SQL.
 
     A shingle is read from the UTF-16 form of the line, where each starts at a known byte (lines with characters
     beyond the base plane: from UTF-32, and then written as UTF-16).
     """
-    d = lines.select("h", "norm", F.encode("norm", "UTF-16BE").alias("u")).withColumn("w", F.when(F.octet_length("u") == 2 * F.length("norm"), 2).otherwise(4))
-    d = d.select("h", "w", F.when(F.col("w") == 2, F.col("u")).otherwise(F.encode("norm", "UTF-32")).alias("u"))
+    d = lines.select("h", *more, "norm", F.encode("norm", "UTF-16BE").alias("u")).withColumn("w", F.when(F.octet_length("u") == 2 * F.length("norm"), 2).otherwise(4))
+    d = d.select("h", *more, "w", F.when(F.col("w") == 2, F.col("u")).otherwise(F.encode("norm", "UTF-32")).alias("u"))
     part = f"CASE WHEN w = 2 THEN substring(u, i, {2 * shingle}) ELSE encode(decode(substring(u, i, {4 * shingle}), 'UTF-32'), 'UTF-16BE') END"
     return d, f"sequence(1, octet_length(u) - {shingle} * w + 1, w)", f"xxhash64({part})"
 
 
+def _hashed(texts: DataFrame, cols: dict[str, str], by: list[str], shingle: int = SHINGLE) -> DataFrame:
+    """by, and under each name of `cols` the hashes of all shingles of that column's line (repeats included).
+
+    A row of texts is one group of `by`, and rows are dealt by it or a part of it. Lines are cut into runs of RUN
+    shingles, whose hashes are made side by side in generated code (a lambda over the places would be interpreted).
+    """
+    d = texts.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("norm")) for k, c in enumerate(cols.values())])).alias("_l"))
+    d, places, _ = _placed(d.select(F.struct(*by).alias("h"), "_l.norm", "_l.side"), shingle, "side")
+    d = d.select("h", "side", "w", "u", F.explode(F.expr(places.replace(", w)", f", {RUN} * w)"))).alias("i"))
+    d = d.select("h", "side", "w", F.expr(f"substring(u, i, {RUN + shingle - 1} * w)").alias("u"))
+    part = "xxhash64(CASE WHEN w = 2 THEN substring(u, {0}, {1}) ELSE encode(decode(substring(u, {2}, {3}), 'UTF-32'), 'UTF-16BE') END)"
+    each = ", ".join(part.format(2 * k + 1, 2 * shingle, 4 * k + 1, 4 * shingle) for k in range(RUN))
+    d = d.select("h.*", "side", F.expr(f"octet_length(u) DIV w - {shingle - 1}").cast("int").alias("n"), F.expr(f"array({each})").alias("x"))
+    d = d.withColumn("x", F.when(F.col("n") < RUN, F.slice("x", 1, F.col("n"))).otherwise(F.col("x")))
+    return d.groupBy(*by).agg(*[F.flatten(F.collect_list(F.when(F.col("side") == k, F.col("x")))).alias(c) for k, c in enumerate(cols)])
+
+
 def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row for each line: h, size (distinct shingles), w0.. (which of 64 * WORDS bins hold an odd number of them).
 
     A bin that is odd in one of two lines and even in the other holds a shingle of one of them alone, so the bins that
     differ are at most the shingles that differ: see possible(). texts has one row for each line.
     """
-    d, places, x = _placed(texts, shingle)
-    d = d.select("h", F.explode(F.expr(f"array_distinct(transform({places}, i -> {x}))")).alias("x"))
+    d = _hashed(texts.select("h", "norm").repartition("h"), {"x": "norm"}, ["h"], shingle)
+    d = d.select("h", F.explode(F.array_distinct("x")).alias("x"))
     d = d.select("h", F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1)).alias("of"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("bit"))
     return d.groupBy("h").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("of") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
 
@@ -181,17 +200,12 @@ def across(crowds: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int =
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """The pairs whose exact Jaccard similarity of character shingles is at least `least`.
-
-    With the numbers of distinct shingles (usize, vsize) beside a pair the union tells the rest.
-    """
-    sized = "usize" in pairs.columns
+    """The pairs (u, v, each once) whose exact Jaccard similarity of character shingles, told apart by a hash of 64
+    bits, is at least `least`."""
     of = lambda c: texts.select(F.col("h").alias(c), F.col("norm").alias(f"{c}t"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("us", _cut("ut", shingle)).withColumn("vs", _cut("vt", shingle))
-    if sized:
-        both = both.select("u", "v", (F.col("usize") + F.col("vsize")).alias("sum"), F.size(F.array_union("us", "vs")).alias("n")).withColumn("common", F.col("sum") - F.col("n"))
-    else:
-        both = both.select("u", "v", F.size(F.array_union("us", "vs")).alias("n"), F.size(F.array_intersect("us", "vs")).alias("common"))
+    both = pairs.select("u", "v").repartition("u", "v").join(of("u"), "u").join(of("v"), "v")
+    both = _hashed(both, {"us": "ut", "vs": "vt"}, ["u", "v"], shingle)
+    both = both.select("u", "v", F.size(F.array_union("us", "vs")).alias("n"), F.size(F.array_intersect("us", "vs")).alias("common"))
     return both.where(F.col("common") >= F.lit(least) * F.col("n")).select("u", "v")
 
 

@@ -155,3 +155,27 @@ def test_nearest_pairs_first_lose_no_link(spark):
     for few in (5, 100_000):
         got = {x["node"]: x["component"] for x in lines._linked(pairs, none, d, few, 8, 0.8).collect()}
         assert got == {i: 0 for i in range(40)}
+
+
+def test_runs_of_shingles_hold_every_one_once(spark):
+    """Lines about the ends of a run, with and without characters beyond the base plane: each shingle is hashed where it
+    stands, alike in both forms, and a verified pair is one by the sets of shingles themselves."""
+    r = random.Random(15)
+    rows = []
+    for n in (8, 9, 22, 23, 24, 25, 38, 39, 40, 200):
+        a = "".join(r.choice("abcdeé中") for _ in range(n))
+        rows += [a, a + "😀", "😀" + a, a[: n // 2] * 3, a[: n - n // 5] + "q" * (n // 5)]
+    rows = [(h, t) for h, t in enumerate(rows) if len(t) >= 8]
+    d = spark.createDataFrame(rows, "h long, norm string")
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b and b - a < 12], "u long, v long")
+    cut = lambda t: [t[k : k + 8] for k in range(len(t) - 7)]
+    text, got = dict(rows), {x["h"]: x["x"] for x in lines._hashed(d.repartition("h"), {"x": "norm"}, ["h"]).collect()}
+    named: dict = {}
+    for h, t in rows:
+        assert len(got[h]) == len(cut(t))
+        named.setdefault(frozenset(got[h]), set()).add(frozenset(cut(t)))
+    assert all(len(x) == 1 for x in named.values()) and len({x for g in got.values() for x in g}) == len({x for t in text.values() for x in cut(t)})
+    assert {x["h"]: x["size"] for x in lines.sketches(d).collect()} == {h: len(set(cut(t))) for h, t in rows}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    want = {(x["u"], x["v"]) for x in pairs.collect() if jaccard(set(cut(text[x["u"]])), set(cut(text[x["v"]]))) >= 0.8}
+    assert want and {(x["u"], x["v"]) for x in lines.verified(pairs, d).collect()} == want
