@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import copy
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,14 +27,15 @@ SHARE, SHARD, RATE, WIDE, CHUNK = 1, 2_000_000, 0.0007, 128, 1_000_000
 #: Distinct words that a worker counts, or remembers the codes of, before it lets go of them, about; rows of states
 #: whose probabilities are taken at a time.
 HELD, ROWS = 200_000, 8192
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Logarithms up to which e to their power, and sums of these, keep to single precision.
+FAR = 60
 END = ""  # no word is empty
 LN10 = float(np.log(10))
 
 
 def words_of(text: str | None) -> list[bytes]:
     """The tokens of a whole text but the end: A-Z lower-cased, runs of anything but space and \\x09-\\x0D."""
-    return _WORD.findall((text or "").encode("utf-8", "replace").lower())
+    return (text or "").encode("utf-8", "replace").lower().split()  # of bytes: at just these characters
 
 
 def counts(docs: DataFrame, text: str = "text", held: int = HELD) -> DataFrame:
@@ -211,13 +212,16 @@ class Network:
         ends = np.searchsorted(cls, np.arange(self.head_classes + 1))
         runs = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if b > a]
 
-        def softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """ln P of what is at each row's place; x becomes the gradient."""
+        most = max(1.0, float(h.max()), -float(h.min())) if len(h) else 1.0
+
+        def softmax(x: np.ndarray, at: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """ln P of what is at each row's place; x, which is h @ w + b, becomes the gradient."""
             i = rows[: len(x)]
-            x -= x.max(axis=1, keepdims=True)
+            if most * np.abs(w).sum(axis=-2).max() + np.abs(b).max() > FAR:  # no power of e is beyond the numbers else
+                x -= x.max(axis=1, keepdims=True)
             own = x[i, at]
             np.exp(x, out=x)
-            s = x.sum(axis=1)
+            s = x @ np.ones(x.shape[1], x.dtype)
             if want_grad:
                 x *= (-1 / s)[:, None]
                 x[i, at] += 1
@@ -225,26 +229,27 @@ class Network:
 
         x = h @ p["wc"]
         x += p["bc"]
-        out = softmax(x, cls)
+        out = softmax(x, cls, p["wc"], p["bc"])
         grad, dh = {}, None
         if want_grad:
-            grad["wc"], grad["bc"], dh = h.T @ x, x.sum(axis=0), x @ p["wc"].T
+            grad["wc"], grad["bc"], dh = h.T @ x, np.ones(len(x), x.dtype) @ x, x @ p["wc"].T
             grad["wv"], grad["bv"] = np.zeros_like(p["wv"]), np.zeros_like(p["bv"])
         n = int(ends[-1])
         x = np.empty((n, CLASS), h.dtype)
         for k, run in runs:
             np.matmul(h[run], p["wv"][k], out=x[run])
-            x[run] += p["bv"][k]
         if n:
-            out[:n] += softmax(x, slot[:n])
+            x += p["bv"][cls[:n]]
+            out[:n] += softmax(x, slot[:n], p["wv"], p["bv"])
         back = np.empty_like(out)
         back[order] = out
         if not want_grad:
             return back
         for k, run in runs:
             np.matmul(h[run].T, x[run], out=grad["wv"][k])
-            x[run].sum(axis=0, out=grad["bv"][k])
             dh[run] += x[run] @ p["wv"][k].T
+        if n:
+            grad["bv"][[k for k, _ in runs]] = np.add.reduceat(x, [run.start for _, run in runs], axis=0)
         whole = np.empty_like(dh)
         whole[order] = dh
         return back, grad, whole
@@ -252,8 +257,7 @@ class Network:
     def window(self, inp: np.ndarray, fresh: np.ndarray, cls: np.ndarray, slot: np.ndarray, weight: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Truncated backpropagation through one window (steps x streams): sum of ln P, its gradients, last state.
 
-        A symbol's part of the gates is the same wherever it stands: it is made once for each symbol of the window,
-        and on the way back its gradients are summed before they pass through the weights.
+        A symbol's part of the gates is the same wherever it stands: it is made once for each symbol of the window.
         """
         p, d = self.p, self.d
         steps, streams = inp.shape
@@ -265,14 +269,24 @@ class Network:
         which[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
         emb = p["emb"][symbols]
         gx = (emb @ p["w"] + p["b"])[which].reshape(steps, streams, 3 * d)
-        h0, z, r, m, n, hs = (np.empty((steps, streams, d), gx.dtype) for _ in range(6))
+        h0, m, n, hs = (np.empty((steps, streams, d), gx.dtype) for _ in range(4))
+        zr, gh = np.empty((steps, streams, 2 * d), gx.dtype), np.empty((streams, 3 * d), gx.dtype)
+        z, r = zr[:, :, :d], zr[:, :, d:]
         anew = fresh.any(axis=1)
-        for t in range(steps):
+        for t in range(steps):  # as in step(), into place
             if anew[t]:
                 h = np.where(fresh[t][:, None], 0, h)
             h0[t] = h
-            h, z[t], r[t], m[t], n[t] = self.step(gx[t], h)
-            hs[t] = h  # what predicts is read before a new document drops it
+            np.matmul(h0[t], p["u"], out=gh)
+            _sigmoid(np.add(gh[:, : 2 * d], gx[t, :, : 2 * d], out=zr[t]))
+            np.add(gh[:, 2 * d :], p["c"], out=m[t])
+            nt = np.multiply(r[t], m[t], out=n[t])
+            nt += gx[t, :, 2 * d :]
+            np.tanh(nt, out=nt)
+            h = np.subtract(h0[t], nt, out=hs[t])
+            h *= z[t]
+            h += nt
+        h = h.copy()  # what predicts is read before a new document drops it
         live = np.nonzero(weight.ravel())[0]
         every = len(live) == len(flat)
         hs = hs.reshape(-1, d)
@@ -300,11 +314,11 @@ class Network:
         dgh = dgh.reshape(-1, 3 * d)
         grad["u"] = h0.reshape(-1, d).T @ dgh
         grad["c"] = dgh[:, 2 * d :].sum(axis=0)
-        each = np.add.reduceat(dgx.reshape(-1, 3 * d)[order], starts, axis=0)
-        grad["b"] = each.sum(axis=0)
-        grad["w"] = emb.T @ each
-        grad["emb"] = np.zeros_like(p["emb"])
-        grad["emb"][symbols] = each @ p["w"].T
+        dgx = dgx.reshape(-1, 3 * d)
+        grad["b"] = np.ones(len(dgx), dgx.dtype) @ dgx
+        grad["w"] = emb[which].T @ dgx
+        place = (flat[:, None] * d + np.arange(d)).ravel()
+        grad["emb"] = np.bincount(place, (dgx @ p["w"].T).ravel(), minlength=p["emb"].size).reshape(-1, d).astype(gx.dtype)
         return float(out.sum()), grad, h
 
 
@@ -337,6 +351,24 @@ class Model:
         for w, i in lex.index.items():
             if i >= lex.heads:
                 self.known_cluster[i] = lex.cluster(w)
+        k = len(lex.prior)
+        self.symbol_class = np.concatenate((lex.word_class[: lex.heads], lex.n_class + np.arange(k))).astype(np.int32)
+        self.symbol_slot = np.concatenate((lex.word_slot[: lex.heads], np.zeros(k, np.int64))).astype(np.int32)
+
+    def symbols(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each coded token, which names its class and slot, and what its cluster adds to its log10 P: for
+        words beyond the heads, their part of the cluster (of those not known, without log10(c + 0.1))."""
+        lex, n = self.lex, len(self.known_cluster)
+        if not hasattr(self, "by_code"):  # by code, those of the clusters (from -1 down) at the end
+            k = np.arange(len(lex.prior))[::-1]
+            add = np.concatenate((self.log_count - self.log_mass[self.known_cluster], -self.log_mass[k]))
+            add[: lex.heads] = 0
+            self.by_code = np.concatenate((np.arange(lex.heads), lex.heads + self.known_cluster[lex.heads :], lex.heads + k)).astype(np.uint16), add
+        assert len(self.by_code[1]) == n + len(lex.prior)
+        return self.by_code[0][code], self.by_code[1][code]
+
+    def end_symbol(self) -> int:
+        return int(self.symbols(np.array([self.lex.index.get(b"", -1)]))[0][0])
 
     def arrays(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input symbol, class and slot of each coded token."""
@@ -348,29 +380,31 @@ class Model:
         return symbol, cls, np.where(head, lex.word_slot[safe] if lex.heads else 0, 0)
 
     def scores(self, codes: list[np.ndarray]) -> np.ndarray:
-        """log10 P of coded documents, but for log10(c + 0.1) of the words that are not known.
+        """log10 P of coded documents, but for log10(c + 0.1) of the words that are not known."""
+        both = [self.symbols(c) for c in codes]
+        return self.symbol_scores([x for x, _ in both]) + np.array([a.sum() for _, a in both]) if codes else np.zeros(0)
+
+    def symbol_scores(self, symbols: list[np.ndarray]) -> np.ndarray:
+        """log10 P of the symbols of documents.
 
         Streams of whole documents run side by side in windows; the state is carried from window to window and is
         zero at the start of a document, whose first input is the end symbol.
         """
-        if not codes:
+        if not symbols:
             return np.zeros(0)
         net, p = self.net, self.net.p
         table = p["emb"] @ p["w"] + p["b"]
-        lengths = np.array([len(c) for c in codes])
+        lengths = np.array([len(c) for c in symbols])
         held = slots_of(lengths, SLOTS)
-        total = np.zeros(len(codes))
-        end = int(self.arrays(np.array([self.lex.index.get(b"", -1)]))[0][0])
+        total = np.zeros(len(symbols))
+        end = self.end_symbol()
         docs = np.array([i for s in held for i in s], np.int64)
-        code = np.concatenate([codes[i] for i in docs])  # stream after stream
-        symbol, cls, slot = self.arrays(code)
-        head = (code >= 0) & (code < self.lex.heads)
-        add = np.where(head, 0.0, np.where(code >= 0, self.log_count[np.maximum(code, 0)] if len(self.log_count) else 0.0, 0.0) - self.log_mass[np.where(head, 0, cls - self.lex.n_class)])
+        symbol = np.concatenate([symbols[i] for i in docs])  # stream after stream
+        cls, slot = self.symbol_class[symbol], self.symbol_slot[symbol]
         owner = np.repeat(docs, lengths[docs])
-        total += np.bincount(owner, add, minlength=len(codes))
-        fresh = np.zeros(len(code), bool)
+        fresh = np.zeros(len(symbol), bool)
         fresh[np.cumsum(lengths[docs]) - lengths[docs]] = True
-        before = np.concatenate(([end], symbol[:-1]))
+        before = np.concatenate((symbol[:1], symbol[:-1]))
         before[fresh] = end
         sizes = np.array([int(lengths[s].sum()) for s in held])
         starts = np.cumsum(sizes) - sizes
@@ -393,7 +427,7 @@ class Model:
             flat, where = (hs.reshape(-1, net.d), where.ravel()) if mask.all() else (hs[mask], where[mask])
             for a in range(0, len(flat), ROWS):
                 i = where[a : a + ROWS]
-                total += np.bincount(owner[i], net.log_probabilities(flat[a : a + ROWS], cls[i], slot[i]) / LN10, minlength=len(codes))
+                total += np.bincount(owner[i], net.log_probabilities(flat[a : a + ROWS], cls[i], slot[i]) / LN10, minlength=len(symbols))
         return total
 
 
@@ -424,22 +458,20 @@ class Adam:
             self.net.p[k] += g
 
 
-def epoch(model: Model, codes: list[np.ndarray], adam: Adam, rate: float, streams: int) -> None:
-    """One pass over coded documents, dealt to streams side by side, by truncated backpropagation in windows."""
-    symbols = [model.arrays(c) for c in codes]
-    held = slots_of(np.array([len(c) for c in codes]), streams)
-    longest = max(sum(len(codes[i]) for i in s) for s in held)
-    inp, cls, slot = (np.zeros((longest, len(held)), np.int32) for _ in range(3))
+def epoch(model: Model, symbols: list[np.ndarray], adam: Adam, rate: float, streams: int) -> None:
+    """One pass over documents as symbols, dealt to streams side by side, by truncated backpropagation in windows."""
+    held = slots_of(np.array([len(c) for c in symbols]), streams)
+    longest = max(sum(len(symbols[i]) for i in s) for s in held)
+    inp, out = (np.zeros((longest, len(held)), np.int32) for _ in range(2))
     fresh, weight = np.zeros((longest, len(held)), bool), np.zeros((longest, len(held)), bool)
-    first = int(model.arrays(np.array([model.lex.index.get(b"", 0)]))[0][0])
+    first = model.end_symbol()
     for s, docs in enumerate(held):
-        at = 0
-        for i in docs:
-            symbol, k, q = symbols[i]
-            n = len(symbol)
-            inp[at, s], inp[at + 1 : at + n, s] = first, symbol[:-1]
-            cls[at : at + n, s], slot[at : at + n, s], weight[at : at + n, s], fresh[at, s] = k, q, True, True
-            at += n
+        row = np.concatenate([symbols[i] for i in docs])
+        n, sizes = len(row), np.array([len(symbols[i]) for i in docs])
+        starts = np.cumsum(sizes) - sizes
+        out[:n, s], inp[1:n, s], weight[:n, s] = row, row[:-1], True
+        inp[starts, s], fresh[starts, s] = first, True
+    cls, slot = model.symbol_class[out], model.symbol_slot[out]
     h = np.zeros((len(held), model.net.d), np.float32)
     for at in range(0, longest, STEPS):
         live = int(weight[at].sum())  # the longest streams come first, so those that go on are the first ones
@@ -468,14 +500,52 @@ def train(texts: list[list[bytes]], lex: Lexicon, known: list[tuple[str, int]],
     net.p["bv"][~filled] = -30
     adam = Adam(net)
     for turn in range(epochs):
-        epoch(model, codes, adam, rate * 0.5**turn, STREAMS)
+        epoch(model, [model.symbols(c)[0] for c in codes], adam, rate * 0.5**turn, STREAMS)
         net.p["bv"][~filled] = -30
 
 
+def coded(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (id, text, held, h) without texts: part and row (which name a row), id, held, h, n (tokens), known (tokens
+    whose count the model holds), head (the sum of their log10(c + 0.1)), model (what clusters add to the model's
+    score), symbols (of 16 bits), tail (the other words)."""
+    light = copy.copy(model)
+    light.net = None  # codes are the same whatever the network has learned
+    shared = docs.sparkSession.sparkContext.broadcast(light)
+
+    def code(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, part_no, row = shared.value, TaskContext.get().partitionId(), 0
+        for whole in parts:
+            size = whole["text"].str.len().fillna(0).to_numpy().cumsum() // CHARS  # bounded memory: some texts at a time
+            for _, part in whole.groupby(size, sort=False):
+                words = [words_of(t) for t in part["text"]]
+                for w in words:
+                    w.append(b"")
+                lengths = np.array([len(w) for w in words])
+                flat = list(chain.from_iterable(words))
+                codes = m.lex.code(flat)
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
+                symbols, add = m.symbols(codes)
+                known = codes >= 0
+                off = np.nonzero(~known)[0]
+                head = np.where(known, m.log_count[codes * known], 0.0)
+                tail = [flat[i].decode("utf-8", "replace") for i in off]
+                cut = np.searchsorted(off, np.append(starts, len(flat)))
+                sums = {k: np.add.reduceat(x, starts) for k, x in (("known", known.astype(np.int64)), ("head", head), ("model", add))}
+                yield pd.DataFrame({
+                    "part": part_no, "row": np.arange(row, row + len(part)), "id": part["id"].array, "held": part["held"].array, "h": part["h"].array, "n": lengths, **sums,
+                    "symbols": [symbols[a:b].tobytes() for a, b in zip(starts, ends)], "tail": [tail[a:b] for a, b in zip(cut, cut[1:])],
+                })
+                row += len(part)
+
+    return docs.mapInPandas(code, f"part int, row long, id {dict(docs.dtypes)['id']}, held boolean, h long, n long, known long, head double, model double, symbols binary, tail array<string>")
+
+
 def refine(learn: DataFrame, model: Model, tokens: int, share: float = SHARE, shard: int = SHARD, rate: float = RATE) -> int:
     """Go on training the network in place on a fixed share of all rows (id, text), however many: the tokens it saw.
 
-    Rows are picked and dealt to shards by the hash of id and text, so that shards are the same wherever they lie.
+    learn may hold the symbols of the texts in their place, and h, the hash of id and text. Rows are picked and dealt
+    to shards by that hash, so that shards are the same wherever they lie.
     Every shard takes one pass of truncated backpropagation from the same start; the weights are then averaged, by
     tokens, first in groups on the executors and last on the driver, which holds as many sets of weights as the
     square root of the shards.
@@ -483,9 +553,10 @@ def refine(learn: DataFrame, model: Model, tokens: int, share: float = SHARE, sh
     if not tokens:
         return 0
     shards = max(1, int(tokens * share / shard))
-    h = F.xxhash64("id", "text")
-    picked = learn.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("h", h)
-    dealt = picked.repartition(shards, "h").sortWithinPartitions("h").select("text")
+    if "symbols" not in learn.columns:
+        learn = coded(learn.select("id", "text", F.lit(False).alias("held"), F.xxhash64("id", "text").alias("h")), model)
+    picked = learn.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).select("h", "symbols")
+    dealt = picked.repartition(shards, "h").sortWithinPartitions("h").select("symbols")
     shared = learn.sparkSession.sparkContext.broadcast(model)
     names = list(model.net.p)
 
@@ -493,7 +564,6 @@ def refine(learn: DataFrame, model: Model, tokens: int, share: float = SHARE, sh
         m = copy.copy(shared.value)
         m.net = copy.deepcopy(m.net)
         adam, seen, held, size = Adam(m.net), 0, [], 0
-        end = m.lex.index.get(b"", 0)
 
         def learn_from() -> None:
             nonlocal seen, held, size
@@ -503,8 +573,8 @@ def refine(learn: DataFrame, model: Model, tokens: int, share: float = SHARE, sh
             held, size = [], 0
 
         for part in parts:
-            for t in part["text"]:
-                held.append(np.append(m.lex.code(words_of(t)), np.int32(end)))
+            for x in part["symbols"]:
+                held.append(np.frombuffer(x, np.uint16))
                 size += len(held[-1])
                 if size >= CHUNK:  # bounded memory: some texts at a time
                     learn_from()
@@ -568,32 +638,21 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     net = Network(lex.heads + k, lex.n_class + k, lex.n_class)
     model = Model(lex, net, log_count, np.log10(mass))
     train(texts, lex, top, model)
-    refine(learn.select("id", "text"), model, total, share)
+    codes = written(coded(base.withColumn("h", F.xxhash64("id", "text")), model), "coded")
+    refine(codes.where(~F.col("held")), model, total, share)
     shared = spark.sparkContext.broadcast(model)  # bounded by known words and the width
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, part_no, row = shared.value, TaskContext.get().partitionId(), 0
-        end = m.lex.index.get(b"", 0)
+        m = shared.value
         for whole in parts:
-            size = whole["text"].str.len().fillna(0).to_numpy().cumsum() // CHARS  # bounded memory: some texts at a time
-            for _, part in whole.groupby(size, sort=False):
-                codes, heads, n_known, tails = [], [], [], []
-                for t in part["text"]:
-                    words = words_of(t)
-                    code = np.append(m.lex.code(words), np.int32(end))
-                    off = np.nonzero(code < 0)[0]
-                    codes.append(code)
-                    heads.append(float(m.log_count[code[code >= 0]].sum()))
-                    n_known.append(len(code) - len(off))
-                    tails.append([words[i].decode("utf-8", "replace") for i in off])
-                yield pd.DataFrame({"part": part_no, "row": np.arange(row, row + len(part)), "id": part["id"], "held": part["held"], "n": [len(c) for c in codes], "known": n_known, "head": heads, "model": m.scores(codes), "tail": tails})
-                row += len(part)
+            for _, part in whole.groupby(whole["n"].to_numpy().cumsum() // CHUNK, sort=False):
+                yield part.drop(columns="symbols").assign(model=part["model"] + m.symbol_scores([np.frombuffer(x, np.uint16) for x in part["symbols"]]))
 
-    kind = dict(base.dtypes)["id"]
-    first = written(base.mapInPandas(score, f"part int, row long, id {kind}, held boolean, n long, known long, head double, model double, tail array<string>"), "scored")
-    rest = first.select("part", "row", F.explode("tail").alias("word")).join(table, "word", "left")
+    first = codes.drop("tail", "h")
+    first = first.mapInPandas(score, first.drop("symbols").schema)
+    rest = codes.select("part", "row", F.explode("tail").alias("word")).join(table, "word", "left")
     rest = rest.groupBy("part", "row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("more"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("seen"))
-    out = first.drop("tail").join(rest, ["part", "row"], "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    out = first.join(rest, ["part", "row"], "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
     ends_known = F.lit(0 if total else 1)  # with no training rows even the end is unknown
     each = float(np.log10(total + 0.1 * (distinct + 1)))
     head = F.col("head") if total else F.lit(-1.0)  # the end's log10(0 + 0.1)

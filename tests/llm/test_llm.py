@@ -446,3 +446,31 @@ def test_words_by_the_tree_of_pieces():
     r = random.Random(15)
     words = ["", "▁", "▁the", "😀", "▁a😀b"] + ["▁" * r.randrange(2) + "".join(r.choice("etaoinshrdlu0=中é_") for _ in range(r.randrange(1, 60))) for _ in range(3000)]
     assert all(v.word(w) == v.ids(w, v.trace(w, 0, len(w))) for w in words)
+
+
+def test_texts_are_coded_once(spark):
+    """Texts as symbols, summed by text, score and train as codes word by word do, with known words, others and no text."""
+    import copy
+    import re
+
+    rows = [(i, "the Cat\x0bsat \x1c on\x85 rare%d  " % i if i % 7 else None, i % 5 == 0, i) for i in range(40)]
+    d = spark.createDataFrame(rows, "id long, text string, held boolean, h long").coalesce(2)
+    top = [("", 40), ("the", 34), ("cat", 34), ("rare1", 1), ("rare2", 1)]
+    lex = language_model.lexicon([[b"the", b"cat", b"sat", b"rare3"]] * 5, top, heads=3, clusters=2)
+    k = len(lex.prior)
+    net = language_model.Network(lex.heads + k, lex.n_class + k, lex.n_class)
+    model = language_model.Model(lex, net, np.log10(np.array([c for _, c in top]) + 0.1), np.arange(1.0, k + 1))
+    got = {x["id"]: x for x in language_model.coded(d, model).collect()}
+    for i, t, held, h in rows:
+        w = [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]
+        code, x = lex.code(w), got[i]
+        symbols = np.frombuffer(x["symbols"], np.uint16)
+        assert (x["held"], x["h"], x["n"], x["known"]) == (held, h, len(w), int((code >= 0).sum()))
+        assert x["head"] == pytest.approx(float(model.log_count[code[code >= 0]].sum())) and x["tail"] == [w[j].decode() for j in np.nonzero(code < 0)[0]]
+        symbol, cls, slot = model.arrays(code)
+        assert (symbols == symbol).all() and (model.symbol_class[symbols] == cls).all() and (model.symbol_slot[symbols] == slot).all()
+        assert x["model"] + model.symbol_scores([symbols])[0] == pytest.approx(model.scores([code])[0])
+    far = copy.deepcopy(net)
+    for v in far.p.values():  # logarithms beyond single precision without the largest taken off
+        v *= 3000
+    assert np.isfinite(far.log_probabilities(np.full((4, far.d), 0.9, np.float32), np.array([0, 0, 1, 1]), np.zeros(4, int), True)[0]).all()
